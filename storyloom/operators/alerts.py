@@ -6,7 +6,6 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from storyloom.functions.dates import moment
 from storyloom.functions.text import normalize_query
@@ -14,16 +13,6 @@ from storyloom.operators.dedup import recent
 from storyloom.operators.search import postings, query_units
 from storyloom.settings import ALERT_WINDOW_HOURS
 
-MATCHES = T.StructType(
-    [
-        T.StructField("alert_id", T.LongType()),
-        T.StructField("article_id", T.LongType()),
-        T.StructField("matched_at", T.TimestampType()),
-        T.StructField("notified", T.BooleanType()),
-    ]
-)
-
-
 def add_alerts(alerts: DataFrame, new: DataFrame, as_of: datetime | str) -> DataFrame:
     """Append saved searches (id, name, query, optional channel and target)."""
     defaults = {

@@ -23,22 +23,36 @@ from storyloom.settings import (
 from storyloom.sources.store import Store
 from storyloom.tables import written
 
-ITEMS = T.StructType.fromDDL(
+_TYPES = {
+    "bigint": T.LongType(),
+    "string": T.StringType(),
+    "timestamp": T.TimestampType(),
+    "boolean": T.BooleanType(),
+    "vector": T.ArrayType(T.FloatType()),
+}
+
+
+def _schema(columns: str) -> T.StructType:
+    pairs = (column.split() for column in columns.split(","))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
+
+
+ITEMS = _schema(
     """
     ord bigint, source_id bigint, guid string, url string, title string, author string,
     content string, published_at timestamp, fetched_at timestamp
     """
 )
-ARTICLES = T.StructType.fromDDL(
+ARTICLES = _schema(
     """
     id bigint, ord bigint, source_id bigint, guid string, url string, canonical_url string,
     title string, author string, content string, excerpt string, lang string,
     published_at timestamp, fetched_at timestamp, content_hash string, simhash bigint,
-    embedding array<float>
+    embedding vector
     """
 )
-ASSIGNMENTS = T.StructType.fromDDL("id bigint, story_id bigint, seeded boolean")
-MATCHES = T.StructType.fromDDL(
+ASSIGNMENTS = _schema("id bigint, story_id bigint, seeded boolean")
+MATCHES = _schema(
     "alert_id bigint, article_id bigint, matched_at timestamp, notified boolean"
 )
 
