@@ -89,11 +89,9 @@ def near_pairs(
         rows = written(_split_buckets(rows, free_bits, blocks), "simhash-buckets")
         free_bits -= free_bits // blocks
         large = rows.groupBy(*bucket).count().filter(F.col("count") > bucket_limit).select(*bucket)
-        if free_bits >= blocks:
+        again = free_bits >= blocks and not large.isEmpty()
+        if again:
             large = written(large, "simhash-large-buckets")
-            again = not large.isEmpty()
-        else:
-            again = False
         small = rows.join(large, bucket, "left_anti") if again else rows
         pairs = _bucket_pairs(small, bucket, threshold, mirrored=known is None)
         found = pairs if found is None else found.unionByName(pairs)
@@ -215,21 +213,24 @@ def _accept(fresh: DataFrame, threshold: int) -> DataFrame:
             .groupBy("key")
             .agg(F.min("first").alias("near_first"))
         )
-        leading = written(
+        leading = (
             first.join(near_first, "key", "left")
             .filter(F.col("near_first").isNull() | (F.col("first.ord") < F.col("near_first.ord")))
-            .select("key", "first.ord", "first.keys"),
-            "dedup-leading",
-        )
-        winners = written(
-            leading.groupBy("ord", "keys").count().filter("count = keys").select("ord"),
-            "dedup-winners",
+            .select("key", "first.ord", "first.keys")
         )
+        winners = leading.groupBy("ord", "keys").count().filter("count = keys").select("ord")
         closed = leading.join(winners, "ord", "left_semi").select("key")
         closed = closed.unionByName(
             near.join(closed, "key", "left_semi").select(F.col("near_key").alias("key"))
         )
         out = live.join(closed.distinct(), "key", "left_semi").select("ord").distinct()
-        live = written(live.join(out, "ord", "left_anti"), "dedup-live")
-        accepted = accepted.unionByName(winners)
+        # One written table per round; a winner is out of the race as well.
+        state = written(
+            live.join(winners.withColumn("won", F.lit(True)), "ord", "left").join(
+                out.withColumn("out", F.lit(True)), "ord", "left"
+            ),
+            "dedup-round",
+        )
+        accepted = accepted.unionByName(state.filter("won").select("ord").distinct())
+        live = state.filter("out is null").select("ord", "key", "keys")
     return accepted

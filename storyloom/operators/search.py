@@ -165,7 +165,8 @@ def matches(index: DataFrame, articles: DataFrame, query: str) -> DataFrame:
     names = {word: f"w{i}" for i, word in enumerate(sorted(everything))}
     phrases = {w for conj in alternatives for c in conj if len(c.lexemes) > 1 for _, w in c.lexemes}
     scored = F.when(F.col("lex").isin(*ranked), _posting_rank()) if ranked else F.lit(0.0)
-    columns = [F.coalesce(F.sum(scored), F.lit(0.0)).alias("rank")]
+    # Rounded, so that equal ranks are equal whatever the order of summation.
+    columns = [F.round(F.sum(scored), 6).alias("rank")]
     for word, name in names.items():
         here = F.col("lex") == word
         columns.append(F.count_if(here).alias(name))

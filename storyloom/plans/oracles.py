@@ -234,18 +234,18 @@ def forest(where: str, threshold: float = 0.62) -> str:
     """
     return f"""
     unit AS MATERIALIZED (
-        SELECT id, story_id, at, fetched_at, CAST(embedding AS DOUBLE[]) AS v,
+        SELECT id, story_id, "at", fetched_at, CAST(embedding AS DOUBLE[]) AS v,
             sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS len
         FROM vecs),
     pairs AS (
-        SELECT a.id, c.id AS parent_id, c.story_id AS parent_story, c.at,
+        SELECT a.id, c.id AS parent_id, c.story_id AS parent_story, c."at",
             round(list_dot_product(a.v, c.v) / (a.len * c.len), 9) AS sim
         FROM unit a JOIN unit c ON a.id <> c.id AND {where}
         WHERE a.story_id IS NULL AND a.len > 0 AND c.len > 0),
     best AS MATERIALIZED (
         SELECT id, parent_id, parent_story, sim FROM (
             SELECT *, row_number() OVER (
-                PARTITION BY id ORDER BY sim DESC, parent_story IS NULL, at, parent_id) AS rn
+                PARTITION BY id ORDER BY sim DESC, parent_story IS NULL, "at", parent_id) AS rn
             FROM pairs)
         WHERE rn = 1 AND sim >= {threshold})"""
 
@@ -261,14 +261,17 @@ STORY_WALK = """
         SELECT w.id, w.story AS story_id, b.id IS NULL AS seeded
         FROM walk w LEFT JOIN best b ON b.id = w.id WHERE w.story IS NOT NULL)"""
 
-C2_WHERE = """(c.at < a.at OR (c.at = a.at AND c.id < a.id))
+C2_WHERE = """(c."at" < a."at" OR (c."at" = a."at" AND c.id < a.id))
     AND c.fetched_at > (SELECT max(fetched_at) FROM vecs) - INTERVAL 72 HOUR"""
 
-TEXT_VECS = "vecs AS MATERIALIZED (SELECT a.id, CAST(NULL AS BIGINT) AS story_id, coalesce(published_at, fetched_at) AS at, fetched_at, embedding, title FROM articles a JOIN dense USING (id))"
+TEXT_VECS = """vecs AS MATERIALIZED (
+    SELECT a.id, CAST(NULL AS BIGINT) AS story_id, coalesce(published_at, fetched_at) AS "at",
+        fetched_at, embedding, title
+    FROM articles a JOIN dense USING (id))"""
 
 GIVEN_VECS = f"""vecs AS MATERIALIZED (
     SELECT vec_id AS id, CASE WHEN vec_id % 3 <> 0 THEN vec_id % 40 END AS story_id,
-        {after('vec_id * 10')} AS at, {after('vec_id * 10')} AS fetched_at, embedding
+        {after('vec_id * 10')} AS "at", {after('vec_id * 10')} AS fetched_at, embedding
     FROM embeddings)"""
 
 CLUSTERED = f"WITH RECURSIVE {ARTICLES}, {EMBEDDED}, {TEXT_VECS}, {forest(C2_WHERE)}, {STORY_WALK}"
@@ -351,7 +354,7 @@ RANKED = """
     positive AS (SELECT DISTINCT qid, lex FROM wanted WHERE NOT negated),
     ranked AS MATERIALIZED (
         SELECT h.qid, h.article_id,
-            coalesce(sum(CASE WHEN label = 'A' THEN 1.0 WHEN label = 'B' THEN 0.4 END * (1 + ln(tf))), 0) AS rank
+            round(coalesce(sum(CASE WHEN label = 'A' THEN 1.0 WHEN label = 'B' THEN 0.4 END * (1 + ln(tf))), 0), 6) AS rank
         FROM hits h LEFT JOIN (SELECT * FROM positive JOIN labelled USING (lex)) p
             ON p.qid = h.qid AND p.article_id = h.article_id
         GROUP BY ALL)"""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -322,7 +321,10 @@ def t13(spark, folder):
     return fx.table(spark, folder, "events").select("event_id", parsed)
 
 
-@query("t14_effective_time", f"WITH {o.ARTICLES} SELECT id, coalesce(published_at, fetched_at) AS at FROM articles")
+@query(
+    "t14_effective_time",
+    f"""WITH {o.ARTICLES} SELECT id, coalesce(published_at, fetched_at) AS "at" FROM articles""",
+)
 def t14(spark, folder):
     return fx.articles(spark, folder).select("id", fn.effective_time().alias("at"))
 
@@ -557,7 +559,7 @@ def c02_counts(spark, folder):
 
 @query(
     "c03_seed_stories",
-    f"""{o.CLUSTERED} SELECT v.id, v.title, CAST(1 AS INT) AS article_count, v.at AS first_seen_at
+    f"""{o.CLUSTERED} SELECT v.id, v.title, CAST(1 AS INT) AS article_count, v."at" AS first_seen_at
     FROM assigned JOIN vecs v USING (id) WHERE seeded""",
 )
 def c03(spark, folder):
@@ -615,7 +617,7 @@ def c05(spark, folder):
     return cl.apply_assignments(rows, given)
 
 
-_NO_WINDOW = "(c.at < a.at OR (c.at = a.at AND c.id < a.id))"
+_NO_WINDOW = """(c."at" < a."at" OR (c."at" = a."at" AND c.id < a.id))"""
 
 
 @query(
@@ -632,8 +634,8 @@ def c06(spark, folder):
 
 @query(
     "c07_embed_and_cluster",
-    f"""{o.CLUSTERED} SELECT s.id, s.title, CAST(count(*) AS INT) AS article_count, s.at AS first_seen_at
-    FROM assigned a JOIN vecs s ON s.id = a.story_id GROUP BY s.id, s.title, s.at""",
+    f"""{o.CLUSTERED} SELECT s.id, s.title, CAST(count(*) AS INT) AS article_count, s."at" AS first_seen_at
+    FROM assigned a JOIN vecs s ON s.id = a.story_id GROUP BY s.id, s.title, s."at" """,
 )
 def c07(spark, folder):
     _, stories = cl.embed_and_cluster(fx.articles(spark, folder), None, fx.latest_fetch(spark, folder))
@@ -803,8 +805,8 @@ def a05(spark, folder):
 @query(
     "v01_recent_articles",
     f"""WITH {o.ARTICLES}, {o.SOURCES}
-    SELECT a.id, a.title, source_name, coalesce(published_at, fetched_at) AS at
-    FROM articles a JOIN {_NAMED} USING (source_id) ORDER BY at DESC, a.id LIMIT 50 OFFSET 20""",
+    SELECT a.id, a.title, source_name, coalesce(published_at, fetched_at) AS "at"
+    FROM articles a JOIN {_NAMED} USING (source_id) ORDER BY "at" DESC, a.id LIMIT 50 OFFSET 20""",
 )
 def v01(spark, folder):
     rows = vw.recent_articles(fx.articles(spark, folder), fx.sources(spark, folder), 50, 20)
@@ -862,8 +864,8 @@ def v05(spark, folder):
 @query(
     "v06_timeline",
     f"""WITH {o.ARTICLES}, {o.SOURCES}
-    SELECT a.id, a.title, source_name, coalesce(published_at, fetched_at) AS at
-    FROM articles a JOIN {_NAMED} USING (source_id) WHERE placed_story = 70 ORDER BY at, a.id""",
+    SELECT a.id, a.title, source_name, coalesce(published_at, fetched_at) AS "at"
+    FROM articles a JOIN {_NAMED} USING (source_id) WHERE placed_story = 70 ORDER BY "at", a.id""",
 )
 def v06(spark, folder):
     rows = vw.story_articles(fx.placed_articles(spark, folder), fx.sources(spark, folder), 70)
@@ -882,8 +884,8 @@ def v06_sources(spark, folder):
 
 @query(
     "v07_home_feed",
-    f"""SELECT 'story' AS kind, id, title, excerpt, latest_at AS at FROM ({_STORY_LIST})
-    ORDER BY at DESC NULLS LAST, id LIMIT 30""",
+    f"""SELECT 'story' AS kind, id, title, excerpt, latest_at AS "at" FROM ({_STORY_LIST})
+    ORDER BY "at" DESC NULLS LAST, id LIMIT 30""",
 )
 def v07(spark, folder):
     return vw.home_feed(fx.stories(spark, folder), fx.placed_articles(spark, folder), fx.sources(spark, folder))
@@ -893,8 +895,8 @@ def v07(spark, folder):
     "v07_home_feed_without_stories",
     f"""WITH {o.ARTICLES}
     SELECT 'article' AS kind, id, title, {o.excerpt("content")} AS excerpt,
-        coalesce(published_at, fetched_at) AS at
-    FROM articles ORDER BY at DESC, id LIMIT 30 OFFSET 30""",
+        coalesce(published_at, fetched_at) AS "at"
+    FROM articles ORDER BY "at" DESC, id LIMIT 30 OFFSET 30""",
 )
 def v07_fallback(spark, folder):
     none = fx.stories(spark, folder).filter("article_count < 0")
@@ -962,9 +964,9 @@ def r02(spark, folder):
 )
 def r03(spark, folder):
     # Fetch times lie inside one look-back here, so exactly the first copy stays.
-    path = os.path.join(folder, "documents.parquet")
     schema = fx.table(spark, folder, "documents").schema
-    stream = spark.readStream.schema(schema).parquet(path).select(
+    documents = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet")
+    stream = documents.parquet(folder).select(
         F.sha2("text", 256).alias("text_hash"), moment(fx.EPOCH, T.TimestampType()).alias("fetched_at")
     )
     out = new_path(spark, "prefiltered")
