@@ -37,7 +37,8 @@ SEARCH_STOPWORDS = tuple(
 def lexeme(token: Column) -> Column:
     """Plural endings removed by the three rules of Harman's S-stemmer."""
     return (
-        F.when(token.rlike("[^ea]ies$"), F.regexp_replace(token, "ies$", "y"))
+        F.when(~token.endswith("s"), token)
+        .when(token.rlike("[^ea]ies$"), F.regexp_replace(token, "ies$", "y"))
         .when(token.rlike("[^aeo]es$"), F.regexp_replace(token, "s$", ""))
         .when(token.rlike("[^us]s$"), F.regexp_replace(token, "s$", ""))
         .otherwise(token)
@@ -55,22 +56,54 @@ def lexemes(text: Column) -> Column:
 def postings(articles: DataFrame) -> DataFrame:
     """Inverted index: lex, article_id, title_tf, body_tf, sorted positions.
 
-    Positions count every word of title then body.  Words of one article meet
-    before the shuffle, so it carries one row per article and lexeme.
+    Positions count every word of title then body.  The words of an article are
+    sorted and cut into runs within its row, so nothing is shuffled.
     """
-    title = F.transform(lexemes(F.col("title")), lambda w: F.struct(w.alias("lex"), F.lit(1).alias("t")))
-    body = F.transform(lexemes(F.col("content")), lambda w: F.struct(w.alias("lex"), F.lit(0).alias("t")))
-    words = articles.select(
-        F.col("id").alias("article_id"), F.posexplode(F.concat(title, body)).alias("pos", "word")
+    title, body = lexemes(F.col("title")), lexemes(F.col("content"))
+    words = F.filter(
+        F.transform(
+            F.concat(title, body), lambda w, i: F.struct(w.alias("lex"), i.alias("pos"))
+        ),
+        lambda w: w["lex"].isNotNull(),
     )
-    return (
-        words.filter(F.col("word.lex").isNotNull())
-        .groupBy(F.col("word.lex").alias("lex"), "article_id")
-        .agg(
-            F.sum("word.t").alias("title_tf"),
-            F.sum(1 - F.col("word.t")).alias("body_tf"),
-            F.sort_array(F.collect_list("pos")).alias("positions"),
-        )
+    runs = let(F.sort_array(words), lambda s: let(_run_starts(s), lambda b: _runs(s, b)))
+    rows = articles.select(
+        F.col("id").alias("article_id"), F.size(title).alias("title_size"), F.explode_outer(runs).alias("run")
+    )
+    positions, title_size = F.col("run.positions"), F.col("title_size")
+    title_tf = F.size(F.filter(positions, lambda p: p < title_size))
+    return rows.filter("run is not null").select(
+        F.col("run.lex").alias("lex"),
+        "article_id",
+        title_tf.alias("title_tf"),
+        (F.size(positions) - title_tf).alias("body_tf"),
+        positions.alias("positions"),
+    )
+
+
+def _run_starts(words: Column) -> Column:
+    """Places where another lexeme begins, and the size at the end."""
+    places = F.filter(
+        F.transform(
+            words,
+            lambda w, i: F.when(
+                (i == 0) | (w["lex"] != F.get(words, i - 1)["lex"]), i
+            ),
+        ),
+        lambda i: i.isNotNull(),
+    )
+    return F.concat(places, F.array(F.size(words)))
+
+
+def _runs(words: Column, starts: Column) -> Column:
+    return F.transform(
+        F.slice(starts, 1, F.size(starts) - 1),
+        lambda begin, k: F.struct(
+            words[begin]["lex"].alias("lex"),
+            F.transform(
+                F.slice(words, begin + 1, starts[k + 1] - begin), lambda w: w["pos"]
+            ).alias("positions"),
+        ),
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from storyloom.functions.hashing import content_hash, simhash
 from storyloom.functions.text import excerpt, normalize_whitespace
 from storyloom.sources.feeds import triage
+from storyloom.tables import spread
 
 EPOCH = "2024-01-01 00:00:00"
 STEP_MINUTES = 5
@@ -17,6 +18,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table with long texts, whose few files should keep all cores busy."""
+    return spread(table(spark, folder, name))
+
+
 def minutes_after(minutes: Column) -> Column:
     return F.lit(EPOCH).cast("timestamp_ntz") + F.make_dt_interval(mins=minutes.cast("int"))
 
@@ -24,7 +30,7 @@ def minutes_after(minutes: Column) -> Column:
 def raw_items(spark: SparkSession, folder: str) -> DataFrame:
     """Feed items in arrival order, one per web page."""
     page = F.col("page_id")
-    return table(spark, folder, "pages").select(
+    return texts(spark, folder, "pages").select(
         page.alias("ord"),
         F.pmod(page, F.lit(20)).cast("int").alias("source_id"),
         F.when(page % 5 != 0, F.concat(F.lit("g"), (page % 200).cast("string"))).alias("guid"),
@@ -43,7 +49,7 @@ def articles(spark: SparkSession, folder: str) -> DataFrame:
     shift = F.make_dt_interval(hours=(F.col("doc_id") % 5).cast("int"))
     title = F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 80)
     basis = F.lower(normalize_whitespace(F.col("text")))
-    docs = table(spark, folder, "documents")
+    docs = texts(spark, folder, "documents")
     return docs.select(
         F.col("doc_id").alias("id"),
         F.substring("source", 4, 10).cast("int").alias("source_id"),

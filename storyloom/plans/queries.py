@@ -217,7 +217,7 @@ def s08b(spark, folder):
 
 @query("t01_strip_html", f"SELECT page_id, {o.strip('html')} AS text FROM pages")
 def t01(spark, folder):
-    return fx.table(spark, folder, "pages").select("page_id", fn.strip_html(F.col("html")).alias("text"))
+    return fx.texts(spark, folder, "pages").select("page_id", fn.strip_html(F.col("html")).alias("text"))
 
 
 @query(
@@ -231,41 +231,41 @@ def t02(spark, folder):
     numeric = F.concat(
         F.lit("&#"), (page % 40000 + 8000).cast("string"), F.lit(";x&#"), (page % 26 + 65).cast("string"), F.lit(";")
     )
-    return fx.table(spark, folder, "pages").select(
+    return fx.texts(spark, folder, "pages").select(
         "page_id", fn.decode_entities(F.col("html")).alias("text"), fn.decode_entities(numeric).alias("numbers")
     )
 
 
 @query("t03_normalize_whitespace", f"SELECT doc_id, {o.norm('text')} AS text FROM documents")
 def t03(spark, folder):
-    return fx.table(spark, folder, "documents").select("doc_id", fn.normalize_whitespace(F.col("text")).alias("text"))
+    return fx.texts(spark, folder, "documents").select("doc_id", fn.normalize_whitespace(F.col("text")).alias("text"))
 
 
 @query("t04_tokenize", f"SELECT doc_id, array_to_string({o.tokens('text')}, ' ') AS tokens FROM documents")
 def t04(spark, folder):
     joined = F.array_join(fn.tokenize(F.col("text")), " ").alias("tokens")
-    return fx.table(spark, folder, "documents").select("doc_id", joined)
+    return fx.texts(spark, folder, "documents").select("doc_id", joined)
 
 
 @query("t05_content_tokens", f"SELECT doc_id, array_to_string({o.content_tokens('text')}, ' ') AS tokens FROM documents")
 def t05(spark, folder):
     joined = F.array_join(fn.content_tokens(F.col("text")), " ").alias("tokens")
-    return fx.table(spark, folder, "documents").select("doc_id", joined)
+    return fx.texts(spark, folder, "documents").select("doc_id", joined)
 
 
 @query("t06_excerpt", f"SELECT page_id, {o.excerpt('html')} AS excerpt FROM pages")
 def t06(spark, folder):
-    return fx.table(spark, folder, "pages").select("page_id", fn.excerpt(F.col("html")).alias("excerpt"))
+    return fx.texts(spark, folder, "pages").select("page_id", fn.excerpt(F.col("html")).alias("excerpt"))
 
 
 @query("t07_canonical_url", f"SELECT page_id, {o.canonical('trim(url)')} AS canonical_url FROM pages")
 def t07(spark, folder):
-    return fx.table(spark, folder, "pages").select("page_id", fn.canonical_url(F.col("url")).alias("canonical_url"))
+    return fx.texts(spark, folder, "pages").select("page_id", fn.canonical_url(F.col("url")).alias("canonical_url"))
 
 
 @query("t08_content_hash", "SELECT doc_id, sha256(text) AS content_hash FROM documents")
 def t08(spark, folder):
-    return fx.table(spark, folder, "documents").select("doc_id", fn.content_hash(F.col("text")).alias("content_hash"))
+    return fx.texts(spark, folder, "documents").select("doc_id", fn.content_hash(F.col("text")).alias("content_hash"))
 
 
 @query(
@@ -275,7 +275,7 @@ def t08(spark, folder):
     SELECT token, {o.signed("h")} AS hash FROM hashed""",
 )
 def t09(spark, folder):
-    words = fx.table(spark, folder, "documents").select(F.explode(fn.tokenize(F.col("text"))).alias("token"))
+    words = fx.texts(spark, folder, "documents").select(F.explode(fn.tokenize(F.col("text"))).alias("token"))
     return words.distinct().select("token", fn.fnv1a64(F.col("token")).alias("hash"))
 
 
@@ -284,7 +284,7 @@ def t09(spark, folder):
     f"WITH {o.simhashes('sims', 'documents', 'doc_id', 'text')} SELECT doc_id, simhash FROM sims",
 )
 def t10(spark, folder):
-    return fx.table(spark, folder, "documents").select("doc_id", fn.simhash(F.col("text")).alias("simhash"))
+    return fx.texts(spark, folder, "documents").select("doc_id", fn.simhash(F.col("text")).alias("simhash"))
 
 
 @query(
@@ -455,7 +455,8 @@ def d06_history(spark, folder):
 
 
 def _places(rows: DataFrame, *keys: str) -> DataFrame:
-    places = rows.select(*keys, F.posexplode("embedding").alias("idx", "w")).filter("w <> 0")
+    # The outer form, because a filter on the vector would compute it twice.
+    places = rows.select(*keys, F.posexplode_outer("embedding").alias("idx", "w")).filter("w <> 0")
     return places.withColumn("w", F.round(F.col("w").cast("double"), 6))
 
 
