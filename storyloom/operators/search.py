@@ -59,25 +59,26 @@ def postings(articles: DataFrame) -> DataFrame:
     Positions count every word of title then body.  The words of an article are
     sorted and cut into runs within its row, so nothing is shuffled.
     """
-    title, body = lexemes(F.col("title")), lexemes(F.col("content"))
+    in_title = F.transform(
+        lexemes(F.col("title")), lambda w: F.struct(w.alias("lex"), F.lit(1).alias("title"))
+    )
+    in_body = F.transform(
+        lexemes(F.col("content")), lambda w: F.struct(w.alias("lex"), F.lit(0).alias("title"))
+    )
     words = F.filter(
         F.transform(
-            F.concat(title, body), lambda w, i: F.struct(w.alias("lex"), i.alias("pos"))
+            F.concat(in_title, in_body),
+            lambda w, i: F.struct(w["lex"].alias("lex"), i.alias("pos"), w["title"].alias("title")),
         ),
         lambda w: w["lex"].isNotNull(),
     )
     runs = let(F.sort_array(words), lambda s: let(_run_starts(s), lambda b: _runs(s, b)))
-    rows = articles.select(
-        F.col("id").alias("article_id"), F.size(title).alias("title_size"), F.explode_outer(runs).alias("run")
-    )
-    positions, title_size = F.col("run.positions"), F.col("title_size")
-    title_tf = F.size(F.filter(positions, lambda p: p < title_size))
-    return rows.filter("run is not null").select(
-        F.col("run.lex").alias("lex"),
+    return articles.select(F.col("id").alias("article_id"), F.inline(runs)).select(
+        "lex",
         "article_id",
-        title_tf.alias("title_tf"),
-        (F.size(positions) - title_tf).alias("body_tf"),
-        positions.alias("positions"),
+        "title_tf",
+        (F.size("positions") - F.col("title_tf")).alias("body_tf"),
+        "positions",
     )
 
 
@@ -96,15 +97,15 @@ def _run_starts(words: Column) -> Column:
 
 
 def _runs(words: Column, starts: Column) -> Column:
-    return F.transform(
-        F.slice(starts, 1, F.size(starts) - 1),
-        lambda begin, k: F.struct(
+    def run(begin: Column, k: Column) -> Column:
+        own = F.slice(words, begin + 1, starts[k + 1] - begin)
+        return F.struct(
             words[begin]["lex"].alias("lex"),
-            F.transform(
-                F.slice(words, begin + 1, starts[k + 1] - begin), lambda w: w["pos"]
-            ).alias("positions"),
-        ),
-    )
+            F.transform(own, lambda w: w["pos"]).alias("positions"),
+            F.aggregate(own, F.lit(0), lambda n, w: n + w["title"]).alias("title_tf"),
+        )
+
+    return F.transform(F.slice(starts, 1, F.size(starts) - 1), run)
 
 
 def labelled_postings(index: DataFrame) -> DataFrame:
