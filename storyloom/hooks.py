@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from storyloom.functions.dates import effective_time
 from storyloom.plans.views import lead_summaries
-from storyloom.tables import written
+from storyloom.tables import lookup, written
 
 FACTS = T.StructType(
     [
@@ -66,14 +66,16 @@ def summarize_stories(
     done = None
     while True:
         sizes = parts.groupBy("story_id").agg(F.ceil(F.count("*") / batch).alias("parts"))
-        parts = parts.join(sizes, "story_id").withColumn(
+        parts = lookup(parts, sizes, "story_id", "inner").withColumn(
             "part", F.pmod(F.xxhash64("id"), F.col("parts"))
         )
         schema = parts.select("story_id", "at", "id", "title", "content").schema
         finished = parts.filter("parts = 1").groupBy("story_id").applyInPandas(one_text, schema)
         finished = finished.select("story_id", F.col("content").alias("summary"))
         done = finished if done is None else done.unionByName(finished)
-        open_parts = parts.filter("parts > 1").groupBy("story_id", "part")
+        # Dealt out by part: the join leaves a story together.
+        open_parts = parts.filter("parts > 1").repartition("story_id", "part")
+        open_parts = open_parts.groupBy("story_id", "part")
         parts = written(open_parts.applyInPandas(one_text, schema), "summary-parts")
         if parts.isEmpty():
             return done

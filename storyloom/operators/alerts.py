@@ -12,6 +12,7 @@ from storyloom.functions.text import normalize_query
 from storyloom.operators.dedup import recent
 from storyloom.operators.search import postings, query_units
 from storyloom.settings import ALERT_WINDOW_HOURS
+from storyloom.tables import lookup, written
 
 def add_alerts(alerts: DataFrame, new: DataFrame, as_of: datetime | str) -> DataFrame:
     """Append saved searches (id, name, query, optional channel and target)."""
@@ -54,10 +55,9 @@ def alert_hits(index: DataFrame, articles: DataFrame, alerts: DataFrame) -> Data
     rarest required lexeme; the others are looked up for those candidates.  A
     frequent word therefore never meets all alerts that mention it.
     """
-    words = alert_lexemes(alerts)
-    used = index.join(words.select("lex").distinct(), "lex", "left_semi").select(
-        "lex", "article_id", "positions"
-    )
+    words = written(alert_lexemes(alerts), "alert-lexemes")
+    used = lookup(index.select("lex", "article_id", "positions"), words.select("lex").distinct(), "lex")
+    used = written(used, "alert-postings")
     frequency = used.groupBy("lex").agg(F.count("*").alias("df"))
     required = words.join(frequency, "lex", "left").groupBy("alert_id", "conj").agg(
         F.min(

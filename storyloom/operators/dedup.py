@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from storyloom.functions.dates import hours_before
 from storyloom.functions.hashing import hamming
 from storyloom.settings import DEDUP_WINDOW_HOURS, HAMMING_THRESHOLD
-from storyloom.tables import written
+from storyloom.tables import lookup, written
 
 BUCKET_LIMIT = 256
 # What is left of an acceptance run may be finished in one task below this size.
@@ -42,15 +42,13 @@ def known_items(items: DataFrame, history: DataFrame, *kinds: str, order: str =
     """Order values of items that share an exact key with a stored article.
 
     The batch picks its keys out of one narrow pass over the history, so the
-    history is never shuffled while the keys of the batch fit a broadcast.
+    history is never shuffled while the keys of the batch fit a broadcast.  Both
+    key lists are written, see ``storyloom.tables.lookup``.
     """
     wanted = items.select(order, F.explode(exact_keys(*kinds)).alias("key"))
-    taken = (
-        history.select(F.explode(exact_keys(*kinds)).alias("key"))
-        .join(wanted.select("key").distinct(), "key", "left_semi")
-        .distinct()
-    )
-    return wanted.join(taken, "key", "left_semi").select(order).distinct()
+    stored = history.select(F.explode(exact_keys(*kinds)).alias("key"))
+    taken = lookup(stored, wanted.select("key").distinct(), "key").distinct()
+    return lookup(wanted, taken, "key").select(order).distinct()
 
 
 def new_items(items: DataFrame, history: DataFrame, *kinds: str, order: str = "ord") -> DataFrame:
@@ -146,7 +144,7 @@ def _bucket_pairs(rows: DataFrame, bucket: list, threshold: int, mirrored: bool)
 def near_known(items: DataFrame, known: DataFrame, threshold: int = HAMMING_THRESHOLD) -> DataFrame:
     """Items whose simhash is within the threshold of any known one."""
     hits = near_pairs(items, known, threshold).select(F.col("a").alias("simhash")).distinct()
-    return items.join(hits, "simhash", "left_semi")
+    return lookup(items, hits, "simhash")
 
 
 # --- acceptance in arrival order ------------------------------------------------
@@ -212,7 +210,7 @@ def _accept(fresh: DataFrame, threshold: int, finish_rows: int) -> DataFrame:
         .unionByName(near.select("key").distinct())
         .distinct()
     )
-    live = rows.join(contested, "key", "left_semi")
+    live = lookup(rows, contested, "key")
     sizes = live.groupBy("ord").agg(F.count("*").alias("keys"))
     live = written(live.join(sizes, "ord"), "dedup-live")
     accepted = fresh.select("ord").join(live.select("ord").distinct(), "ord", "left_anti")
@@ -244,7 +242,7 @@ def _accept(fresh: DataFrame, threshold: int, finish_rows: int) -> DataFrame:
         closed = closed.unionByName(
             near.join(closed, "key", "left_semi").select(F.col("near_key").alias("key"))
         )
-        out = live.join(closed.distinct(), "key", "left_semi").select("ord").distinct()
+        out = lookup(live, closed.distinct(), "key").select("ord").distinct()
         # One written table per round; a winner is out of the race as well.
         state = written(
             live.join(winners.withColumn("won", F.lit(True)), "ord", "left").join(

@@ -39,6 +39,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lookup(rows: DataFrame, keys: DataFrame, on: str | list[str], how: str = "left_semi") -> DataFrame:
+    """Join of rows that may crowd on one key with a table of one row per key.
+
+    The table is written first.  Its size is then known, so Spark broadcasts it
+    if it is small; and it reaches the join through a shuffle of its own, which
+    is what lets adaptive execution split a crowded key over many tasks.  A
+    table aggregated on the same key would be joined in place and not split.
+    """
+    return rows.join(written(keys, "lookup"), on, how)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows out to all cores when the input has fewer splits than cores.
 
