@@ -111,12 +111,14 @@ def run_alerts(
     hours: float = ALERT_WINDOW_HOURS,
     index: DataFrame | None = None,
 ) -> DataFrame:
-    """New matches of active alerts among articles fetched within the window."""
+    """New matches of active alerts among articles fetched within the window.
+
+    ``index`` is a stored index of just the articles in the window; without it
+    one is made.
+    """
     window = recent(articles, as_of, hours)
     if index is None:
         index = postings(window)
-    else:
-        index = index.join(window.select(F.col("id").alias("article_id")), "article_id", "left_semi")
     kind = matches.schema["matched_at"].dataType
     return (
         alert_hits(index, window, alerts)

@@ -509,10 +509,11 @@ def e04(spark, folder):
 @query(
     "e05_reembed_all",
     f"""WITH {o.ARTICLES}, {o.EMBEDDED}
-    SELECT id, CAST(NULL AS BIGINT) AS story_id, CAST(idx AS INT) AS idx, {_W} FROM sparse""",
+    SELECT id, true AS detached, CAST(idx AS INT) AS idx, {_W} FROM sparse""",
 )
 def e05(spark, folder):
-    return _places(em.reembed_all(fx.placed_articles(spark, folder)), "id", "story_id")
+    rows = em.reembed_all(fx.placed_articles(spark, folder))
+    return _places(rows.withColumn("detached", F.col("story_id").isNull()), "id", "detached")
 
 
 # --- clustering -----------------------------------------------------------------
@@ -940,7 +941,7 @@ def _poll(spark, folder, parts: int = 3) -> poll.PollCycle:
 @query("r01_poll_cycle")
 def r01(spark, folder):
     cycle = _poll(spark, folder)
-    rows = cycle.articles().join(cycle.assignments(), "id", "left")
+    rows = cycle.articles().join(cycle.assignments().select("id", "story_id"), "id", "left")
     counts = cycle.matches().groupBy(F.col("article_id").alias("id")).agg(F.count("*").alias("alerts"))
     return rows.join(counts, "id", "left").select("ord", "canonical_url", "title", "story_id", "alerts")
 

@@ -23,8 +23,10 @@ class Store:
             f"{self.root}/{table}/batch_id={batch_id}"
         )
 
-    def read(self, table: str, schema: T.StructType, before: int | None = None) -> DataFrame:
-        """All rows of a table, or those of batches before the given one."""
+    def read(
+        self, table: str, schema: T.StructType, before: int | None = None, only: int | None = None
+    ) -> DataFrame:
+        """All rows of a table, those of earlier batches, or those of one batch."""
         path = f"{self.root}/{table}"
         if not self._exists(path):
             return self.spark.createDataFrame([], schema)
@@ -32,6 +34,8 @@ class Store:
         rows = self.spark.read.schema(full).option("basePath", path).parquet(path)
         if before is not None:
             rows = rows.filter(F.col("batch_id") < before)
+        if only is not None:
+            rows = rows.filter(F.col("batch_id") == only)
         return rows.drop("batch_id")
 
     def _exists(self, path: str) -> bool:

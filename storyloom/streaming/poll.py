@@ -11,9 +11,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from storyloom.operators.alerts import run_alerts
 from storyloom.operators.articles import article_rows
-from storyloom.operators.cluster import assign_stories
-from storyloom.operators.dedup import decide
+from storyloom.operators.cluster import assign_stories, recompute_stories, seed_stories
+from storyloom.operators.dedup import decide, recent
 from storyloom.operators.embed import Embedder, backfill_embeddings, hash_embedding
+from storyloom.operators.search import postings
 from storyloom.settings import (
     CLUSTER_THRESHOLD,
     CLUSTER_WINDOW_HOURS,
@@ -28,7 +29,9 @@ _TYPES = {
     "string": T.StringType(),
     "timestamp": T.TimestampType(),
     "boolean": T.BooleanType(),
+    "int": T.IntegerType(),
     "vector": T.ArrayType(T.FloatType()),
+    "places": T.ArrayType(T.IntegerType()),
 }
 
 
@@ -51,7 +54,10 @@ ARTICLES = _schema(
     embedding vector
     """
 )
-ASSIGNMENTS = _schema("id bigint, story_id bigint, seeded boolean")
+ASSIGNMENTS = _schema("id bigint, story_id bigint, seeded boolean, fetched_at timestamp")
+POSTINGS = _schema(
+    "lex string, article_id bigint, title_tf int, body_tf int, positions places, fetched_at timestamp"
+)
 MATCHES = _schema(
     "alert_id bigint, article_id bigint, matched_at timestamp, notified boolean"
 )
@@ -92,31 +98,54 @@ class PollCycle:
     def matches(self, before: int | None = None) -> DataFrame:
         return self.store.read("matches", MATCHES, before)
 
+    def stories(self, as_of: datetime | str) -> DataFrame:
+        """Story rows of everything stored so far."""
+        assigned = self.assignments()
+        placed = self.articles().join(assigned.select("id", "story_id"), "id")
+        return recompute_stories(seed_stories(placed, assigned, as_of), placed, as_of)
+
     def run(self, items: DataFrame, batch_id: int) -> None:
-        """Process one batch; its own latest fetch time is the present."""
+        """Process one batch; its own latest fetch time is the present.
+
+        Of the stored tables only key columns are read in full; everything else
+        is limited to this batch and the look-back windows.
+        """
         items = written(items.select(*ITEMS.fieldNames()), "poll-items")
-        as_of: datetime | None = items.agg(F.max("fetched_at")).first()[0]
-        if as_of is None:
-            return
         now = items.agg(F.max("fetched_at").cast("string")).first()[0]
-        history = self.articles(batch_id)
+        if now is None:
+            return
 
         rows = written(article_rows(items), "poll-rows")
-        decided = decide(rows, history, now, self.dedup_hours, self.hamming_threshold)
-        fresh = decided.filter("accepted").withColumns(
+        decided = decide(rows, self.articles(batch_id), now, self.dedup_hours, self.hamming_threshold)
+        accepted = decided.filter("accepted").withColumns(
             {"id": F.xxhash64("canonical_url"), "embedding": F.lit(None).cast("array<float>")}
         )
-        fresh = backfill_embeddings(fresh, self.embed)
-        self.store.write("articles", batch_id, fresh.select(*ARTICLES.fieldNames()))
+        accepted = backfill_embeddings(accepted, self.embed)
+        self.store.write("articles", batch_id, accepted.select(*ARTICLES.fieldNames()))
+
+        # Reading back keeps the steps above out of the plans of the next ones.
+        fresh = self.store.read("articles", ARTICLES, only=batch_id)
+        times = fresh.select(F.col("id").alias("article_id"), "fetched_at")
+        self.store.write("postings", batch_id, postings(fresh).join(times, "article_id"))
+
+        earlier, placed = self.articles(batch_id), self.assignments(batch_id)
+        if self.cluster_hours is not None:
+            earlier = recent(earlier, now, self.cluster_hours)
+            placed = recent(placed, now, self.cluster_hours)
+        in_play = earlier.unionByName(fresh).join(placed.select("id", "story_id"), "id", "left")
+        assigned = assign_stories(in_play, now, self.cluster_hours, self.cluster_threshold)
+        assigned = assigned.join(in_play.select("id", "fetched_at"), "id")
+        self.store.write("assignments", batch_id, assigned)
 
-        # Reading back keeps this batch out of the plans of the next steps.
-        stored = self.articles(batch_id + 1)
-        placed = stored.join(
-            self.assignments(batch_id).select("id", "story_id"), "id", "left"
+        index = self.store.read("postings", POSTINGS, before=batch_id + 1)
+        found = run_alerts(
+            self.alerts,
+            self.articles(batch_id + 1),
+            self.matches(batch_id),
+            now,
+            self.dedup_hours,
+            index=recent(index, now, self.dedup_hours).drop("fetched_at"),
         )
-        assigned = assign_stories(placed, now, self.cluster_hours, self.cluster_threshold)
-        self.store.write("assignments", batch_id, assigned)
-        found = run_alerts(self.alerts, stored, self.matches(batch_id), now, self.dedup_hours)
         self.store.write("matches", batch_id, found)
 
     def start(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:

@@ -52,6 +52,8 @@ def test_stream_equals_batches_and_replay_changes_nothing(spark, tmp_path):
     assert tables(streamed) == want
     assert len(want[0]) < 15 and want[2]
     assert len({s for _, s in want[1]}) < len(want[1])
+    stories = batched.stories("2024-01-02 00:00:00").collect()
+    assert sum(r.article_count for r in stories) == len(want[0])
     batched.run(items.filter("ord div 5 = 2"), 2)
     assert tables(batched) == want
 
