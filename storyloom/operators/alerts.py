@@ -12,7 +12,7 @@ from storyloom.functions.text import normalize_query
 from storyloom.operators.dedup import recent
 from storyloom.operators.search import postings, query_units
 from storyloom.settings import ALERT_WINDOW_HOURS
-from storyloom.tables import lookup, written
+from storyloom.tables import lookup, page_rows, written
 
 def add_alerts(alerts: DataFrame, new: DataFrame, as_of: datetime | str) -> DataFrame:
     """Append saved searches (id, name, query, optional channel and target)."""
@@ -147,15 +147,12 @@ def alert_matches(
     matches: DataFrame, articles: DataFrame, sources: DataFrame, alert_id: int, limit: int = 50
 ) -> DataFrame:
     """Articles matched by one alert, newest match first."""
-    chosen = (
-        matches.filter(F.col("alert_id") == alert_id)
-        .orderBy(F.col("matched_at").desc(), "article_id")
-        .limit(limit)
-        .select(F.col("article_id").alias("id"), "matched_at")
+    order = [F.col("matched_at").desc(), F.col("id")]
+    chosen = matches.filter(F.col("alert_id") == alert_id).select(
+        F.col("article_id").alias("id"), "matched_at"
     )
-    # At most ``limit`` rows, which bounds the broadcast.
-    rows = _with_source(articles.join(F.broadcast(chosen), "id"), sources)
-    return rows.orderBy(F.col("matched_at").desc(), "id")
+    page = chosen.join(articles.select("id", "fetched_at"), "id").orderBy(*order).limit(limit)
+    return _with_source(page_rows(articles, page), sources).orderBy(*order)
 
 
 def latest_matches(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from storyloom.functions.binding import let
 from storyloom.functions.dates import effective_time
+from storyloom.tables import page_rows
 
 # Weight of a title and of a body occurrence.
 TITLE_WEIGHT, BODY_WEIGHT = 1.0, 0.4
@@ -189,7 +190,10 @@ def matches(index: DataFrame, articles: DataFrame, query: str) -> DataFrame:
     Only postings of the query's own lexemes are read.  One aggregation per
     article evaluates the whole condition and the rank.
     """
-    alternatives = parse_query(index.sparkSession, query)
+    return _matches(index, articles, parse_query(index.sparkSession, query))
+
+
+def _matches(index: DataFrame, articles: DataFrame, alternatives: list[list[Clause]]) -> DataFrame:
     everything = {w for conj in alternatives for c in conj for _, w in c.lexemes}
     ranked = {w for conj in alternatives for c in conj if not c.negated for _, w in c.lexemes}
     needs_all = any(all(c.negated for c in conj) for conj in alternatives)
@@ -250,34 +254,27 @@ def search(
 ) -> DataFrame:
     """One page of hits, best first, then newest: article, source, rank, headline.
 
-    Bodies are read for the page only; the ranking itself works on the index
-    and on the times of the articles.
+    The ranking works on the index and on the times of the articles and runs at
+    once; bodies are read for its page only.
     """
-    times = articles.select(F.col("id").alias("article_id"), effective_time().alias("at"))
+    alternatives = parse_query(index.sparkSession, query)
+    times = articles.select("id", "fetched_at", effective_time().alias("at"))
+    order = [F.col("rank").desc(), F.col("at").desc(), F.col("id")]
     page = (
-        matches(index, articles, query)
-        .join(times, "article_id")
-        .orderBy(F.col("rank").desc(), F.col("at").desc(), "article_id")
+        _matches(index, articles, alternatives)
+        .withColumnRenamed("article_id", "id")
+        .join(times, "id")
+        .orderBy(*order)
         .offset(offset)
         .limit(limit)
     )
-    words = sorted(
-        {
-            w
-            for conj in parse_query(index.sparkSession, query)
-            for c in conj
-            if not c.negated
-            for _, w in c.lexemes
-        }
-    )
+    words = sorted({w for conj in alternatives for c in conj if not c.negated for _, w in c.lexemes})
     named = sources.select(F.col("id").alias("source_id"), F.col("name").alias("source_name"), "site_url")
-    # The page has at most ``limit`` rows, which bounds the broadcast.
     return (
-        articles.join(F.broadcast(page), articles["id"] == page["article_id"])
-        .drop("article_id")
+        page_rows(articles, page)
         .join(named, "source_id")
         .withColumn("headline", headline(F.col("content"), words))
-        .orderBy(F.col("rank").desc(), F.col("at").desc(), "id")
+        .orderBy(*order)
     )
 
 

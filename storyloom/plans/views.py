@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from storyloom.functions.dates import effective_time
 from storyloom.functions.text import excerpt
 from storyloom.settings import PAGE_SIZE
+from storyloom.tables import page_rows
 
 
 def with_source(articles: DataFrame, sources: DataFrame) -> DataFrame:
@@ -25,14 +26,13 @@ def recent_articles(
 ) -> DataFrame:
     """Articles with source, newest first.
 
-    Every stored article has a source, so the page is cut before the join and
-    full rows are read for the page only.
+    The page is cut on ids and times, at once; full rows are read for it only.
     """
     order = [F.col("at").desc(), F.col("id")]
-    keys = articles.select("id", "source_id", effective_time().alias("at"))
+    keys = articles.select("id", "source_id", "fetched_at", effective_time().alias("at"))
     known = keys.join(sources.select(F.col("id").alias("source_id")), "source_id", "left_semi")
-    page = known.orderBy(*order).offset(offset).limit(limit).select("id", "at")
-    return with_source(articles.join(F.broadcast(page), "id"), sources).orderBy(*order)
+    page = known.orderBy(*order).offset(offset).limit(limit).drop("source_id")
+    return with_source(page_rows(articles, page), sources).orderBy(*order)
 
 
 def article_by_id(articles: DataFrame, sources: DataFrame, article_id: int) -> DataFrame:

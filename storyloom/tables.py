@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -50,6 +51,28 @@ def lookup(rows: DataFrame, keys: DataFrame, on: str | list[str], how: str = "le
     return rows.join(written(keys, "lookup"), on, how)
 
 
+def page_rows(table: DataFrame, page: DataFrame) -> DataFrame:
+    """Full rows of ``table`` for a page of (id, fetched_at, further columns).
+
+    The page is bounded by its limit, so its ids become literals: they and the
+    time span reach the scan of the table and skip what holds no hit, where a
+    join would read every long text first.
+    """
+    spark, kind = table.sparkSession, table.schema["fetched_at"].dataType
+    rows = page.withColumn("text", F.col("fetched_at").cast("string")).collect()
+    local = spark.createDataFrame(rows, page.schema.add("text", "string")).drop("text", "fetched_at")
+    if not rows:
+        return table.limit(0).join(local, "id")
+    # A day on either side keeps clear of time zone shifts.
+    day = F.make_dt_interval(days=F.lit(1))
+    first, last = (F.lit(end(r.text for r in rows)).cast(kind) for end in (min, max))
+    found = table.filter(
+        F.col("id").isin([r.id for r in rows])
+        & F.col("fetched_at").between(first - day, last + day)
+    )
+    return found.join(F.broadcast(local), "id")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows out to all cores when the input has fewer splits than cores.
 
