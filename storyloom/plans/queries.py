@@ -138,13 +138,13 @@ def _item_rows(spark, folder):
     "s06_insert_if_absent",
     f"""WITH {o.ITEMS}, rows AS (
         SELECT ord, source_id, guid, {o.canonical("trim(url)")} AS canonical_url FROM items)
-    SELECT ord, canonical_url, guid FROM rows i WHERE ord >= 100 AND NOT EXISTS (
-        SELECT 1 FROM rows h WHERE h.ord < 100 AND (h.canonical_url = i.canonical_url
+    SELECT ord, canonical_url, guid FROM rows i WHERE (ord // 50) % 3 <> 0 AND NOT EXISTS (
+        SELECT 1 FROM rows h WHERE (h.ord // 50) % 3 = 0 AND (h.canonical_url = i.canonical_url
             OR (h.source_id = i.source_id AND h.guid = i.guid)))""",
 )
 def s06(spark, folder):
     rows = _item_rows(spark, folder)
-    fresh = dd.new_items(rows.filter("ord >= 100"), rows.filter("ord < 100"), "url", "guid")
+    fresh = dd.new_items(rows.filter("ord div 50 % 3 <> 0"), rows.filter("ord div 50 % 3 = 0"), "url", "guid")
     return fresh.select("ord", "canonical_url", "guid")
 
 
@@ -391,20 +391,20 @@ def d03_known(spark, folder):
 def _unique_sql(condition: str) -> str:
     return f"""WITH {o.ITEMS}, rows AS (
         SELECT ord, source_id, guid, {o.canonical("trim(url)")} AS canonical_url FROM items)
-    SELECT ord FROM rows i WHERE ord >= 100
-        AND NOT EXISTS (SELECT 1 FROM rows h WHERE h.ord < 100 AND {condition})"""
+    SELECT ord FROM rows i WHERE (ord // 50) % 3 <> 0
+        AND NOT EXISTS (SELECT 1 FROM rows h WHERE (h.ord // 50) % 3 = 0 AND {condition})"""
 
 
 @query("d04_unique_url", _unique_sql("h.canonical_url = i.canonical_url"))
 def d04(spark, folder):
     rows = _item_rows(spark, folder)
-    return dd.new_items(rows.filter("ord >= 100"), rows.filter("ord < 100"), "url").select("ord")
+    return dd.new_items(rows.filter("ord div 50 % 3 <> 0"), rows.filter("ord div 50 % 3 = 0"), "url").select("ord")
 
 
 @query("d05_unique_guid", _unique_sql("h.source_id = i.source_id AND h.guid = i.guid"))
 def d05(spark, folder):
     rows = _item_rows(spark, folder)
-    return dd.new_items(rows.filter("ord >= 100"), rows.filter("ord < 100"), "guid").select("ord")
+    return dd.new_items(rows.filter("ord div 50 % 3 <> 0"), rows.filter("ord div 50 % 3 = 0"), "guid").select("ord")
 
 
 @query(

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from storyloom.operators import cluster
 from storyloom.operators.embed import centroids
 
-SCHEMA = "id long, story_id long, published_at timestamp_ntz, fetched_at timestamp_ntz, embedding array<float>, title string"
 
 
 def frame(spark, rows):

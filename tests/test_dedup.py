@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from storyloom.operators import dedup
 
-SCHEMA = "ord long, source_id int, guid string, canonical_url string, content_hash string, simhash long, fetched_at timestamp_ntz"
 
 
 def distance(a, b):
