@@ -4,9 +4,18 @@ from storyloom.llm import exact
 from storyloom.llm.bpe import op1_bpe
 from storyloom.llm.exact import op8_exact_dedup
 from storyloom.llm.mixing import op4_mixing
+from storyloom.llm.quality import op5_quality
 from storyloom.llm.simhash import op10_simhash
 from storyloom.llm.toxicity import op3_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_toxicity, op4_mixing, op8_exact_dedup, op10_simhash)}
+OPERATORS = (
+    op1_bpe,
+    op3_toxicity,
+    op4_mixing,
+    op5_quality,
+    op8_exact_dedup,
+    op10_simhash,
+)
+QUERIES = {f.__name__: f for f in OPERATORS}
 
 ORACLES = {"op8_exact_dedup": exact.ORACLE}
