@@ -1,21 +1,25 @@
 """Queries of this folder and their SQL."""
 
-from storyloom.llm import exact
+from storyloom.llm import exact, lines
 from storyloom.llm.bpe import op1_bpe
 from storyloom.llm.exact import op8_exact_dedup
+from storyloom.llm.lines import op2_line_dedup
 from storyloom.llm.mixing import op4_mixing
 from storyloom.llm.quality import op5_quality
 from storyloom.llm.simhash import op10_simhash
+from storyloom.llm.substring import op6_substring
 from storyloom.llm.toxicity import op3_toxicity
 
 OPERATORS = (
     op1_bpe,
+    op2_line_dedup,
     op3_toxicity,
     op4_mixing,
     op5_quality,
+    op6_substring,
     op8_exact_dedup,
     op10_simhash,
 )
 QUERIES = {f.__name__: f for f in OPERATORS}
 
-ORACLES = {"op8_exact_dedup": exact.ORACLE}
+ORACLES = {"op2_line_dedup": lines.ORACLE, "op8_exact_dedup": exact.ORACLE}
