@@ -3,8 +3,10 @@
 from storyloom.llm import exact, lines
 from storyloom.llm.bpe import op1_bpe
 from storyloom.llm.exact import op8_exact_dedup
+from storyloom.llm.language import op7_language_model
 from storyloom.llm.lines import op2_line_dedup
 from storyloom.llm.mixing import op4_mixing
+from storyloom.llm.neighbours import op9_neighbours
 from storyloom.llm.quality import op5_quality
 from storyloom.llm.simhash import op10_simhash
 from storyloom.llm.substring import op6_substring
@@ -17,7 +19,9 @@ OPERATORS = (
     op4_mixing,
     op5_quality,
     op6_substring,
+    op7_language_model,
     op8_exact_dedup,
+    op9_neighbours,
     op10_simhash,
 )
 QUERIES = {f.__name__: f for f in OPERATORS}
