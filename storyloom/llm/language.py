@@ -97,7 +97,7 @@ class Code:
         ``first`` is where the token's document starts; nothing before it counts.
         """
         place = np.arange(len(symbols))
-        shifted = [np.where(place - d >= first, symbols[place - d], self.escape + 1) for d in (1, 2)]
+        shifted = [np.where(place - d >= first, symbols[np.maximum(place - d, 0)], self.escape + 1) for d in (1, 2)]
         common = np.where((symbols < FREQUENT) & (self.counts[symbols] > 0), place, -1)
         last = np.concatenate(([-1], np.maximum.accumulate(common)[:-1])) if len(place) else place
         topic = np.where(last >= first, symbols[last], self.escape + 1)
@@ -121,7 +121,7 @@ def spelled_bits(words: list[bytes]):
     lengths = np.array([len(w) + 1 for w in words])
     first = np.repeat(np.cumsum(lengths) - lengths, lengths)
     place = np.arange(len(line))
-    before = [np.where(place - d >= first, line[place - d] + 1, 0) for d in (1, 2, 3, 4)]
+    before = [np.where(place - d >= first, line[np.maximum(place - d, 0)] + 1, 0) for d in (1, 2, 3, 4)]
     context = np.zeros_like(line)
     contexts = []
     for b in before:
