@@ -8,13 +8,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from storyloom.functions.dates import effective_time
 from storyloom.plans.views import lead_summaries
-from storyloom.tables import lookup, written
+from storyloom.tables import written
 
 FACTS = T.StructType(
     [
@@ -41,41 +41,70 @@ def extract_facts(articles: DataFrame, extractor: FactBatches | None = None) ->
     return texts.mapInPandas(extractor, FACTS)
 
 
+Pairs = list[tuple[str, str]]
+
+
 def summarize_stories(
-    articles: DataFrame,
-    summarizer: Callable[[list[tuple[str, str]]], str] | None = None,
-    batch: int = 64,
+    articles: DataFrame, summarizer: Callable[[Pairs], str] | None = None
 ) -> DataFrame:
     """(story_id, summary); by default the opening of the first article.
 
-    A summarizer turns (title, content) pairs, oldest first, into one text.  A
-    story of more than about ``batch`` articles is summarised in parts, then
-    its parts are: no group grows with the story, and every article is read.
+    A summarizer turns all (title, content) pairs of a story, oldest first, into
+    one text.  It sees the story whole, so a task holds one story at a time; use
+    ``summarize_in_parts`` where stories may not fit.
     """
     if summarizer is None:
         return lead_summaries(articles)
 
-    def one_text(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["at", "id"])
-        text = summarizer(list(zip(part["title"], part["content"], strict=True)))
-        return part.iloc[:1].assign(content=text)[["story_id", "at", "id", "title", "content"]]
+    def one_text(story: pd.DataFrame) -> pd.DataFrame:
+        story = story.sort_values(["at", "id"])
+        text = summarizer(list(zip(story["title"], story["content"], strict=True)))
+        return pd.DataFrame({"story_id": story["story_id"].iloc[:1], "summary": [text]})
+
+    kind = articles.schema["story_id"].dataType.simpleString()
+    return _members(articles).groupBy("story_id").applyInPandas(one_text, f"story_id {kind}, summary string")
+
+
+def summarize_in_parts(
+    articles: DataFrame,
+    partial: Callable[[Pairs], str],
+    combine: Callable[[list[str]], str],
+    part_rows: int = 256,
+) -> DataFrame:
+    """(story_id, summary) for a summary that the user declares associative.
+
+    ``partial`` turns a run of articles, oldest first, into a text, and
+    ``combine`` texts of successive runs into one.  Every article is read, in
+    order, and no group holds more than ``part_rows`` of them.
+    """
+    order = Window.partitionBy("story_id").orderBy("at", "id")
+    rows = _members(articles)
+    kind = articles.schema["story_id"].dataType.simpleString()
+    # Ranked on narrow columns; the texts meet their part by id.
+    places = rows.select("story_id", "at", "id").withColumn("place", F.row_number().over(order) - 1)
+    places = written(places.select("id", "place"), "summary-places")
+    runs = rows.join(places, "id").withColumn("part", F.floor(F.col("place") / part_rows))
+
+    def first(run: pd.DataFrame) -> pd.DataFrame:
+        run = run.sort_values("place")
+        text = partial(list(zip(run["title"], run["content"], strict=True)))
+        return run.iloc[:1][["story_id", "part"]].assign(text=text)
+
+    def more(run: pd.DataFrame) -> pd.DataFrame:
+        run = run.sort_values("part")
+        return run.iloc[:1][["story_id"]].assign(part=run["next"].iloc[0], text=combine(list(run["text"])))
+
+    schema = f"story_id {kind}, part bigint, text string"
+    # Repartitioned first: a story's rows arrive from the join together.
+    texts = runs.repartition("story_id", "part").groupBy("story_id", "part").applyInPandas(first, schema)
+    texts = written(texts, "summary-parts")
+    while not texts.filter("part > 0").isEmpty():
+        level = texts.withColumn("next", F.floor(F.col("part") / part_rows))
+        texts = written(level.groupBy("story_id", "next").applyInPandas(more, schema), "summary-parts")
+    return texts.select("story_id", F.col("text").alias("summary"))
+
 
-    parts = articles.filter("story_id is not null").select(
+def _members(articles: DataFrame) -> DataFrame:
+    return articles.filter("story_id is not null").select(
         "story_id", effective_time().alias("at"), "id", "title", "content"
     )
-    done = None
-    while True:
-        sizes = parts.groupBy("story_id").agg(F.ceil(F.count("*") / batch).alias("parts"))
-        parts = lookup(parts, sizes, "story_id", "inner").withColumn(
-            "part", F.pmod(F.xxhash64("id"), F.col("parts"))
-        )
-        schema = parts.select("story_id", "at", "id", "title", "content").schema
-        finished = parts.filter("parts = 1").groupBy("story_id").applyInPandas(one_text, schema)
-        finished = finished.select("story_id", F.col("content").alias("summary"))
-        done = finished if done is None else done.unionByName(finished)
-        # Dealt out by part: the join leaves a story together.
-        open_parts = parts.filter("parts > 1").repartition("story_id", "part")
-        open_parts = open_parts.groupBy("story_id", "part")
-        parts = written(open_parts.applyInPandas(one_text, schema), "summary-parts")
-        if parts.isEmpty():
-            return done

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storyloom.functions.dates import moment
-from storyloom.functions.text import normalize_query
 from storyloom.operators.dedup import recent
 from storyloom.operators.search import postings, query_units
 from storyloom.settings import ALERT_WINDOW_HOURS
@@ -37,9 +36,12 @@ def list_alerts(alerts: DataFrame) -> DataFrame:
 
 
 def alert_lexemes(alerts: DataFrame) -> DataFrame:
-    """One row per lexeme of every active alert's query."""
+    """One row per lexeme of every active alert's query, which is read whole.
+
+    Only the web search box cuts what is typed, see ``normalize_query``.
+    """
     units = alerts.filter("active").select(
-        F.col("id").alias("alert_id"), F.inline(query_units(normalize_query(F.col("query"))))
+        F.col("id").alias("alert_id"), F.inline(query_units(F.col("query")))
     )
     start = F.array_min(F.transform("lexemes", lambda w: w["off"]))
     return units.select(
@@ -90,7 +92,7 @@ def alert_hits(index: DataFrame, articles: DataFrame, alerts: DataFrame) -> Data
         F.collect_list("starts").alias("starts")
     )
     common = F.aggregate(
-        F.slice("starts", 2, 500), F.get("starts", F.lit(0)), lambda a, b: F.array_intersect(a, b)
+        F.slice("starts", F.lit(2), F.size("starts")), F.get("starts", F.lit(0)), lambda a, b: F.array_intersect(a, b)
     )
     holds = (F.size("starts") == F.col("width")) & (F.coalesce(F.size(common), F.lit(0)) > 0)
     return (

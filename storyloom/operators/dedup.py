@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from datetime import datetime
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +13,6 @@ from storyloom.settings import DEDUP_WINDOW_HOURS, HAMMING_THRESHOLD
 from storyloom.tables import lookup, written
 
 BUCKET_LIMIT = 256
-# What is left of an acceptance run may be finished in one task below this size.
-FINISH_ROWS = 200_000
 
 
 def recent(articles: DataFrame, as_of: datetime | str, hours: float) -> DataFrame:
@@ -156,7 +153,6 @@ def decide(
     as_of: datetime | str | None = None,
     window_hours: float = DEDUP_WINDOW_HOURS,
     threshold: int = HAMMING_THRESHOLD,
-    finish_rows: int = FINISH_ROWS,
 ) -> DataFrame:
     """Add ``accepted`` to each item, as if items were taken one by one by ``ord``.
 
@@ -176,22 +172,21 @@ def decide(
         fresh = written(keys.join(taken.unionByName(near), "ord", "left_anti"), "dedup-fresh")
     else:
         fresh = keys
-    accepted = _accept(fresh, threshold, finish_rows).withColumn("accepted", F.lit(True))
+    accepted = _accept(fresh, threshold).withColumn("accepted", F.lit(True))
     return items.join(accepted, "ord", "left").withColumn(
         "accepted", F.coalesce("accepted", F.lit(False))
     )
 
 
-def _accept(fresh: DataFrame, threshold: int, finish_rows: int) -> DataFrame:
+def _accept(fresh: DataFrame, threshold: int) -> DataFrame:
     """Lowest-order-first independent set over shared keys and near simhashes.
 
     Pairs of rows are never formed: a row is in when it is the first live row
     of each of its keys (and of all near simhash keys); then all live rows of
     those keys are out.  Both steps see one aggregated row per key.
 
-    Every round settles at least the first row of each chain of conflicts.  Long
-    chains of few rows are not worth a round per link: once few rows are left,
-    one task takes them in order.
+    Every round settles at least the first row of each chain of conflicts, and
+    works on the keys of rows that are not settled yet.
     """
     simhash_key = F.concat(F.lit("s"), F.col("simhash").cast("string"))
     rows = fresh.select("ord", F.explode(F.concat(exact_keys(), F.array(simhash_key))).alias("key"))
@@ -216,16 +211,8 @@ def _accept(fresh: DataFrame, threshold: int, finish_rows: int) -> DataFrame:
     accepted = fresh.select("ord").join(live.select("ord").distinct(), "ord", "left_anti")
 
     while True:
-        left = live.count()
-        if left == 0:
+        if live.isEmpty():
             return accepted
-        if left <= finish_rows:
-            open_pairs = near.join(live.select("key").distinct(), "key", "left_semi").join(
-                live.select(F.col("key").alias("near_key")).distinct(), "near_key", "left_semi"
-            )
-            open_pairs = written(open_pairs, "dedup-open-pairs")
-            if open_pairs.count() <= finish_rows:
-                return accepted.unionByName(_take_in_order(live.select("ord", "key"), open_pairs))
         first = live.groupBy("key").agg(F.min(F.struct("ord", "keys")).alias("first"))
         near_first = (
             near.join(first.withColumnRenamed("key", "near_key"), "near_key")
@@ -253,22 +240,3 @@ def _accept(fresh: DataFrame, threshold: int, finish_rows: int) -> DataFrame:
         accepted = accepted.unionByName(state.filter("won").select("ord").distinct())
         live = state.filter("out is null").select("ord", "key", "keys")
 
-
-def _take_in_order(live: DataFrame, near: DataFrame) -> DataFrame:
-    """The plain sequential rule, for inputs whose size has been checked."""
-
-    def take(rows: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        near_keys = pairs.groupby("key")["near_key"].agg(list).to_dict()
-        closed: set[str] = set()
-        taken = []
-        for order, keys in rows.groupby("ord", sort=True)["key"]:
-            if closed.isdisjoint(keys):
-                taken.append(order)
-                closed.update(keys)
-                closed.update(*(near_keys.get(k, ()) for k in keys))
-        return pd.DataFrame({"ord": taken})
-
-    one = F.lit(0).alias("one")
-    return (
-        live.groupBy(one).cogroup(near.groupBy(one)).applyInPandas(take, live.select("ord").schema)
-    )

@@ -178,8 +178,12 @@ def alerts(spark: SparkSession, folder: str) -> DataFrame:
     w = [F.coalesce(F.get(words, F.lit(i)), F.lit("none")) for i in range(3)]
     raw = F.array_join(F.slice(F.split("text", r"\s+", -1), 3, 3), " ")
     kind = item % 6
+    # Some are longer than what a search box takes, with what matters at the end.
     query = (
-        F.when(kind == 0, F.concat_ws(" ", w[0], w[1]))
+        F.when(item % 12 == 0, F.concat(F.repeat(F.lit("qqzzxx OR "), 80), w[0]))
+        .when(item % 12 == 6, F.concat(F.repeat(F.concat(w[0], F.lit(" ")), F.lit(130)), F.lit("-"), w[1]))
+        .when(item % 12 == 7, F.concat(F.repeat(F.lit("qqzzxx OR "), 80), F.lit('"'), raw, F.lit('"')))
+        .when(kind == 0, F.concat_ws(" ", w[0], w[1]))
         .when(kind == 1, F.concat(F.lit('"'), raw, F.lit('"')))
         .when(kind == 2, F.concat(w[0], F.lit(" OR "), w[1], F.lit(" "), w[2]))
         .when(kind == 3, F.concat(w[0], F.lit(" -"), w[1]))

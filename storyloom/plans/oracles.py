@@ -158,13 +158,17 @@ ALERTS = f"""alert_words AS (
         regexp_split_to_array(text, '\\s+')[3:5] AS raw FROM benchmark),
     alerts AS (
     SELECT item_id AS id, item_id % 5 <> 4 AS active, {after('item_id')} AS created_at,
-        CASE item_id % 6
+        CASE
+            WHEN item_id % 12 = 0 THEN repeat('qqzzxx OR ', 80) || coalesce(w[1], 'none')
+            WHEN item_id % 12 = 6 THEN repeat(coalesce(w[1], 'none') || ' ', 130) || '-' || coalesce(w[2], 'none')
+            WHEN item_id % 12 = 7 THEN repeat('qqzzxx OR ', 80) || '"' || array_to_string(raw, ' ') || '"'
+            ELSE CASE item_id % 6
             WHEN 0 THEN coalesce(w[1], 'none') || ' ' || coalesce(w[2], 'none')
             WHEN 1 THEN '"' || array_to_string(raw, ' ') || '"'
             WHEN 2 THEN coalesce(w[1], 'none') || ' OR ' || coalesce(w[2], 'none') || ' ' || coalesce(w[3], 'none')
             WHEN 3 THEN coalesce(w[1], 'none') || ' -' || coalesce(w[2], 'none')
             WHEN 4 THEN '-' || coalesce(w[1], 'none') || ' -' || coalesce(w[2], 'none')
-            ELSE '  the and  ' END AS query
+            ELSE '  the and  ' END END AS query
     FROM alert_words)"""
 
 
@@ -322,7 +326,7 @@ def matching(queries: str, universe: str = "articles") -> str:
     return f"""
     pieces AS (
         SELECT qid, unnest(p) AS piece, unnest(range(len(p))) AS clause FROM (
-            SELECT qid, regexp_extract_all(left({norm('query')}, 500), '-?"[^"]*"?|[^\\s"]+') AS p
+            SELECT qid, regexp_extract_all({norm('query')}, '-?"[^"]*"?|[^\\s"]+') AS p
             FROM {queries})),
     placed AS (
         SELECT *, sum(CASE WHEN lower(piece) = 'or' THEN 1 ELSE 0 END)

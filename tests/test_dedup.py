@@ -101,13 +101,13 @@ def frame(spark, rows):
     return df.withColumn("fetched_at", at).drop("hour")
 
 
-@pytest.mark.parametrize("finish_rows", [0, 1000])
-def test_acceptance_equals_sequential(spark, finish_rows):
-    rng = random.Random(finish_rows)
+@pytest.mark.parametrize("seed", [0, 1000])
+def test_acceptance_equals_sequential(spark, seed):
+    rng = random.Random(seed)
     rows = random_rows(rng, 70)
     history = random_rows(rng, 15, first=1000)
     decided = dedup.decide(
-        frame(spark, rows), frame(spark, history), "2024-01-09 08:00:00", finish_rows=finish_rows
+        frame(spark, rows), frame(spark, history), "2024-01-09 08:00:00"
     )
     got = sorted(r.ord for r in decided.filter("accepted").collect())
     want = sequential(rows, history, as_of_hour=200)
@@ -115,8 +115,7 @@ def test_acceptance_equals_sequential(spark, finish_rows):
     assert decided.count() == len(rows)
 
 
-@pytest.mark.parametrize("finish_rows", [0, 1000])
-def test_rejected_items_block_nobody(spark, finish_rows):
+def test_rejected_items_block_nobody(spark):
     def row(order, url, simhash, guid=None, source=1):
         return {"ord": order, "source_id": source, "guid": guid, "canonical_url": url, "content_hash": f"h{simhash}", "simhash": simhash, "hour": 1}
 
@@ -130,7 +129,7 @@ def test_rejected_items_block_nobody(spark, finish_rows):
         row(7, "h", -1),
         row(8, "i", -1, None),  # two texts without tokens are equal, too
     ]
-    decided = dedup.decide(frame(spark, rows), finish_rows=finish_rows)
+    decided = dedup.decide(frame(spark, rows))
     assert sorted(r.ord for r in decided.filter("accepted").collect()) == [1, 3, 4, 5, 7]
 
 
@@ -158,7 +157,7 @@ def test_hot_group_of_copies(spark):
         F.when(hot, 0).otherwise(F.xxhash64("id")).alias("simhash"),
         F.lit("2024-01-01").cast("timestamp_ntz").alias("fetched_at"),
     )
-    decided = dedup.decide(rows, finish_rows=0)
+    decided = dedup.decide(rows)
     assert decided.filter("accepted").count() == n - n // 3 + 1
     assert decided.filter("accepted and content_hash = 'copy'").first().ord == 0
 

@@ -146,11 +146,17 @@ def test_hooks(spark):
     assert joined == {10: "t1|t2|t3", 20: "t4"}
 
 
-def test_summary_of_a_large_story_reads_every_article(spark):
+def test_summary_of_a_large_story_reads_every_article_in_order(spark):
     at = F.lit("2024-01-01").cast("timestamp_ntz")
     rows = spark.range(300).select(
-        "id", F.lit(1).cast("long").alias("story_id"), at.alias("published_at"), at.alias("fetched_at"),
-        F.lit("t").alias("title"), F.lit("1").alias("content"),
+        (299 - F.col("id")).alias("id"), F.lit(1).cast("long").alias("story_id"), at.alias("published_at"),
+        at.alias("fetched_at"), F.concat(F.lit("t"), (299 - F.col("id")).cast("string")).alias("title"), F.lit("1").alias("content"),
     )
-    total = hooks.summarize_stories(rows, lambda pairs: str(sum(int(c) for _, c in pairs)), batch=8)
-    assert [r.summary for r in total.collect()] == ["300"]
+    titles = " ".join(f"t{i}" for i in range(300))
+
+    def joined(pairs):
+        return " ".join(title for title, _ in pairs)
+
+    assert [r.summary for r in hooks.summarize_stories(rows, joined).collect()] == [titles]
+    parts = hooks.summarize_in_parts(rows, joined, " ".join, part_rows=7)
+    assert [r.summary for r in parts.collect()] == [titles]
