@@ -123,7 +123,10 @@ def escape_xml(text: Column) -> Column:
 
 
 def landed_fetches(spark: SparkSession, folder: str) -> DataFrame:
-    """A feed response per page: RSS for even pages, Atom for odd ones, some failures."""
+    """A feed response per page: RSS for even pages, Atom for odd ones, some failures.
+
+    Pages 1 and 2 of every 20 do not parse, and page 14 has no items.
+    """
     page = F.col("page_id")
     items = raw_items(spark, folder).withColumn("page_id", F.col("ord"))
     title, link, html = escape_xml(F.col("title")), escape_xml(F.col("url")), escape_xml(F.col("content"))
@@ -136,7 +139,8 @@ def landed_fetches(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(" </title>"),
         F.when(page % 4 == 0, F.concat(F.lit("<link>"), link, F.lit("</link>"))).otherwise(""),
         F.when(page % 3 == 0, "<guid>").otherwise('<guid isPermaLink="false">'),
-        link, F.lit("</guid><dc:creator>c"), number, F.lit("</dc:creator><content:encoded>"),
+        link, F.lit("</guid><dc:creator>c"), number,
+        F.lit("</dc:creator><dc:creator>second</dc:creator><content:encoded>"),
         html,
         F.lit("</content:encoded><pubDate>"),
         F.date_format(when, "EEE, dd MMM yyyy HH:mm:ss"),
@@ -147,12 +151,17 @@ def landed_fetches(spark: SparkSession, folder: str) -> DataFrame:
         title,
         F.lit('</title><link rel="self" href="https://self.example.com/"/><link rel="alternate" href="'),
         link, F.lit('"/><id>id'), number, F.lit("</id><author><name>a"), number,
-        F.lit('</name></author><content type="html">'),
-        html,
+        F.lit("</name></author><author><name>second</name></author>"),
+        F.when(page % 20 == 11, F.concat(F.lit('<content type="xhtml"><div>hello <b>w'), number, F.lit("</b></div>")))
+        .otherwise(F.concat(F.lit('<content type="html">'), html)),
         F.lit("</content><published>"),
         F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss"),
         F.lit("Z</published></entry></feed>"),
     )
+    # Two kinds of bodies that do not parse, and a feed without items.
+    rss = F.when(page % 20 == 2, F.substr(rss, F.lit(1), F.length(rss) - 40)).otherwise(rss)
+    rss = F.when(page % 20 == 14, '<rss version="2.0"><channel><title>none</title></channel></rss>').otherwise(rss)
+    atom = F.when(page % 20 == 1, F.replace(atom, F.lit("<author>"), F.lit("a & b<author>"))).otherwise(atom)
     status = (
         F.when(page % 10 == 3, 304).when(page % 10 == 7, 404).when(page % 10 == 9, 500).otherwise(200)
     )

@@ -134,10 +134,10 @@ FETCHES = """fetches AS (
         CASE WHEN page_id % 3 = 0 THEN 'm' || page_id END AS last_modified
     FROM pages),
     outcomes AS (
-        SELECT *, CASE WHEN status = 304 THEN 'not_modified' WHEN status >= 400 THEN 'error'
-                ELSE 'fetched' END AS outcome,
+        SELECT *, CASE WHEN status = 304 THEN 'not_modified' WHEN status >= 400 OR seq % 20 IN (1, 2)
+                THEN 'error' ELSE 'fetched' END AS outcome,
             CASE WHEN status >= 400 THEN 'HTTP ' || status || ' fetching https://src' || source_id
-                || '.example.com/rss' END AS error
+                || '.example.com/rss' WHEN status = 200 AND seq % 20 IN (1, 2) THEN 'not a feed' END AS error
         FROM fetches)"""
 
 STORIES = """stories AS (

@@ -64,8 +64,9 @@ def ntz(name: str):
     SELECT CAST(source_id AS BIGINT) AS source_id, ord AS seq,
         CASE WHEN ord % 2 = 0 THEN url ELSE 'id' || ord END AS guid, trim(url) AS url,
         trim(title) AS title, CASE WHEN ord % 2 = 0 THEN 'c' ELSE 'a' END || ord AS author,
-        {o.norm("content")} AS content, {o.after("ord * 10")} AS published_at
-    FROM items WHERE ord % 10 NOT IN (3, 7, 9)""",
+        CASE WHEN ord % 20 = 11 THEN '<div>hello <b>w' || ord || '</b></div>' ELSE {o.norm("content")} END AS content,
+        {o.after("ord * 10")} AS published_at
+    FROM items WHERE ord % 10 NOT IN (3, 7, 9) AND ord % 20 NOT IN (1, 2, 14)""",
 )
 def s01(spark, folder):
     bodies = fx.triaged(spark, folder).filter("outcome = 'fetched'").select("source_id", "seq", "body")
@@ -176,7 +177,7 @@ _ITEM_KEYS = f"""
         FROM plain JOIN sims USING (ord))"""
 
 _STATS_SQL = f"""WITH RECURSIVE {o.ITEMS}, {o.SOURCES}, {o.FETCHES}, {_ITEM_KEYS},
-    arrived AS (SELECT * FROM item_keys WHERE ord % 10 NOT IN (3, 7, 9)), {o.accepted("arrived")},
+    arrived AS (SELECT * FROM item_keys WHERE ord % 10 NOT IN (3, 7, 9) AND ord % 20 NOT IN (1, 2, 14)), {o.accepted("arrived")},
     fate AS (SELECT source_id, list_contains(acc, n) AS ok FROM numbered CROSS JOIN taken),
     happened AS (
         SELECT id AS source_id, 'source' AS event FROM sources WHERE active
@@ -192,7 +193,7 @@ _STATS_SQL = f"""WITH RECURSIVE {o.ITEMS}, {o.SOURCES}, {o.FETCHES}, {_ITEM_KEYS
 
 
 def _ingested(spark, folder):
-    arrived = _item_rows(spark, folder).filter("ord % 10 not in (3, 7, 9)")
+    arrived = _item_rows(spark, folder).filter("ord % 10 not in (3, 7, 9) and ord % 20 not in (1, 2, 14)")
     fetches = fx.triaged(spark, folder)
     return fx.sources(spark, folder), fetches, dd.decide(arrived)
 
@@ -1023,10 +1024,12 @@ def u02(spark, folder):
 
 @query(
     "u03_summary_hook",
-    f"""WITH {o.ARTICLES} SELECT placed_story AS story_id,
+    f"""WITH {o.ARTICLES} SELECT CASE WHEN id % 3 = 0 THEN 0 ELSE placed_story END AS story_id,
         string_agg(left(title, 10), '; ' ORDER BY coalesce(published_at, fetched_at), id) AS summary
-    FROM articles WHERE placed_story IS NOT NULL GROUP BY 1""",
+    FROM articles WHERE id % 3 = 0 OR placed_story IS NOT NULL GROUP BY 1""",
 )
 def u03(spark, folder):
+    # Every third article belongs to one large story.
     rows = fx.placed_articles(spark, folder)
+    rows = rows.withColumn("story_id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("story_id")))
     return hooks.summarize_stories(rows, lambda pairs: "; ".join(title[:10] for title, _ in pairs))

@@ -8,33 +8,55 @@ from pyspark.sql import functions as F
 from storyloom.functions.dates import parse_date
 from storyloom.functions.text import trim_space
 
+# Elements that may come several times are arrays, of which the first counts.  A
+# string holds nested markup as it stands.
 _RSS_ITEM = """
     title string, link string, guid struct<_VALUE: string, _isPermaLink: string>,
-    author string, `dc:creator` string, description string, `content:encoded` string,
+    author array<string>, `dc:creator` array<string>, description string, `content:encoded` string,
     pubDate string, `dc:date` string
 """
 _RSS = f"""
     channel struct<item: array<struct<{_RSS_ITEM}>>>,
-    item array<struct<{_RSS_ITEM}>>
+    item array<struct<{_RSS_ITEM}>>,
+    _corrupt_record string
 """
 _ATOM = """
     entry array<struct<
         title: string, id: string, published: string, updated: string,
         link: array<struct<_href: string, _rel: string>>,
-        author: struct<name: string>,
-        content: struct<_VALUE: string, _type: string>,
-        summary: struct<_VALUE: string, _type: string>>>
+        author: array<struct<name: string>>,
+        content: string,
+        summary: string>>,
+    _corrupt_record string
 """
+# The field must be the last one: as the first it would empty the items of sound bodies.
+_PARSING = {"columnNameOfCorruptRecord": "_corrupt_record"}
 _FEED_ROOT = r"(?i)<(rss|rdf:rdf|feed)[\s>]"
 
 
+def _is_atom(xml: Column) -> Column:
+    return xml.rlike(r"(?i)<feed[\s>]")
+
+
+def _is_broken(xml: Column) -> Column:
+    """Whether a body is no feed, or one that does not parse."""
+    atom = F.from_xml(xml, _ATOM, _PARSING)["_corrupt_record"]
+    rss = F.from_xml(xml, _RSS, _PARSING)["_corrupt_record"]
+    unsound = F.when(_is_atom(xml), atom).otherwise(rss).isNotNull()
+    return F.when(F.coalesce(xml, F.lit("")).rlike(_FEED_ROOT), unsound).otherwise(True)
+
+
 def triage(fetches: DataFrame) -> DataFrame:
-    """Name the outcome of each fetch: not_modified, error or fetched."""
+    """Name the outcome of each fetch: not_modified, error or fetched.
+
+    A body that does not parse is an error of its source, so the validators that
+    came with it are not kept and the next poll fetches it again.
+    """
     status, body = F.col("status"), F.col("body")
     error = F.when(
         status >= 400,
         F.concat(F.lit("HTTP "), status.cast("string"), F.lit(" fetching "), F.col("feed_url")),
-    ).when((status != 304) & ~F.coalesce(body, F.lit("")).rlike(_FEED_ROOT), "not a feed")
+    ).when((status != 304) & _is_broken(body), "not a feed")
     return fetches.withColumn("error", error).withColumn(
         "outcome",
         F.when(status == 304, "not_modified").when(F.col("error").isNotNull(), "error").otherwise("fetched"),
@@ -49,9 +71,8 @@ def feed_items(bodies: DataFrame, body: str = "body") -> DataFrame:
     """
     kept = [c for c in bodies.columns if c != body]
     xml = F.col(body)
-    atom = xml.rlike(r"(?i)<feed[\s>]")
-    items = F.when(atom, _atom_items(F.from_xml(xml, _ATOM))).otherwise(
-        _rss_items(F.from_xml(xml, _RSS))
+    items = F.when(_is_atom(xml), _atom_items(F.from_xml(xml, _ATOM, _PARSING))).otherwise(
+        _rss_items(F.from_xml(xml, _RSS, _PARSING))
     )
     rows = bodies.select(*kept, F.posexplode(items).alias("position", "item"))
     item = F.col("item")
@@ -82,7 +103,7 @@ def _rss_items(feed: Column) -> Column:
             link=i["link"],
             guid=i["guid"]["_VALUE"],
             title=i["title"],
-            author=F.coalesce(i["dc:creator"], i["author"]),
+            author=F.coalesce(F.get(i["dc:creator"], F.lit(0)), F.get(i["author"], F.lit(0))),
             content=F.coalesce(i["content:encoded"], i["description"]),
             date=F.coalesce(i["pubDate"], i["dc:date"]),
         ),
@@ -102,8 +123,8 @@ def _atom_items(feed: Column) -> Column:
             link=page(e["link"]),
             guid=e["id"],
             title=e["title"],
-            author=e["author"]["name"],
-            content=F.coalesce(e["content"]["_VALUE"], e["summary"]["_VALUE"]),
+            author=F.get(e["author"], F.lit(0))["name"],
+            content=F.coalesce(e["content"], e["summary"]),
             date=F.coalesce(e["published"], e["updated"]),
         ),
     )
