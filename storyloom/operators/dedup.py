@@ -61,9 +61,12 @@ def near_pairs(
     known: DataFrame | None = None,
     threshold: int = HAMMING_THRESHOLD,
     bucket_limit: int = BUCKET_LIMIT,
+    exists: bool = False,
 ) -> DataFrame:
     """Pairs (a, b) of distinct simhash values at most ``threshold`` bits apart.
 
+    With ``exists`` only the values ``a`` that have any ``b``: no pair is formed.
+
     Without ``known``: pairs a < b within ``values``.  With it: a from
     ``values``, b from ``known``, equal values included.
 
@@ -91,7 +94,7 @@ def near_pairs(
         if again:
             large = written(large, "simhash-large-buckets")
         small = rows.join(large, bucket, "left_anti") if again else rows
-        pairs = _bucket_pairs(small, bucket, threshold, mirrored=known is None)
+        pairs = _bucket_pairs(small, bucket, threshold, mirrored=known is None, exists=exists)
         found = pairs if found is None else found.unionByName(pairs)
         if not again:
             return found.distinct()
@@ -127,11 +130,20 @@ def _split_buckets(rows: DataFrame, free_bits: int, blocks: int) -> DataFrame:
     return split.select("value", "known", "next.path", "next.bits", "next.rest")
 
 
-def _bucket_pairs(rows: DataFrame, bucket: list, threshold: int, mirrored: bool) -> DataFrame:
+def _bucket_pairs(
+    rows: DataFrame, bucket: list, threshold: int, mirrored: bool, exists: bool = False
+) -> DataFrame:
     a = rows.filter(~F.col("known")).select(*bucket, F.col("value").alias("a"))
     other = rows if mirrored else rows.filter("known")
     b = other.select(*bucket, F.col("value").alias("b"))
     distance = hamming(F.col("a"), F.col("b"))
+    if exists:
+        other_bucket = [F.col(c).alias(f"other_{c}") for c in bucket]
+        b = b.select(*other_bucket, "b")
+        near = distance <= threshold
+        for c in bucket:
+            near = near & (F.col(c) == F.col(f"other_{c}"))
+        return a.join(b, near, "left_semi").select("a")
     pairs = a.join(b, bucket).filter(distance <= threshold)
     if mirrored:
         pairs = pairs.filter(F.col("a") < F.col("b"))
@@ -140,7 +152,7 @@ def _bucket_pairs(rows: DataFrame, bucket: list, threshold: int, mirrored: bool)
 
 def near_known(items: DataFrame, known: DataFrame, threshold: int = HAMMING_THRESHOLD) -> DataFrame:
     """Items whose simhash is within the threshold of any known one."""
-    hits = near_pairs(items, known, threshold).select(F.col("a").alias("simhash")).distinct()
+    hits = near_pairs(items, known, threshold, exists=True).select(F.col("a").alias("simhash")).distinct()
     return lookup(items, hits, "simhash")
 
 

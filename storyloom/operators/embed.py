@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import warnings
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -89,18 +89,69 @@ def cosine_similarity(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+# Keys whose sums a task holds before it sends them on.
+HELD_KEYS = 20_000
+
+
 def centroids(vectors: DataFrame, key: str, embedding: str = "embedding") -> DataFrame:
-    """Element-wise mean per key.
+    """Element-wise mean per key; null vectors and null elements do not count.
 
-    Sums are formed before the shuffle, so a key with very many vectors sends
-    one row per element and task; the final list has the vector's own length.
+    A task adds the vectors of each key up and sends one array per key, so a key
+    with very many vectors costs one row per task; the arrays of a key are added
+    in a second pass of the same kind.
     """
-    means = (
-        vectors.select(key, F.posexplode(embedding).alias("pos", "x"))
-        .groupBy(key, "pos")
-        .agg(F.avg(F.col("x").cast("double")).alias("mean"))
-    )
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "mean")))
-    return means.groupBy(key).agg(
-        F.transform(ordered, lambda e: e["mean"].cast("float")).alias("centroid")
-    )
+    kind = vectors.schema[key].dataType.simpleString()
+    names = [key, "sums", "counts"]
+    schema = f"`{key}` {kind}, sums array<double>, counts array<bigint>"
+
+    def sent(totals: dict, arrow_key: pa.DataType) -> pa.RecordBatch:
+        columns = [
+            pa.array(list(totals), arrow_key),
+            pa.array([t[0] for t in totals.values()], pa.list_(pa.float64())),
+            pa.array([t[1] for t in totals.values()], pa.list_(pa.int64())),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    def add(totals: dict, name, sums: np.ndarray, counts: np.ndarray) -> None:
+        if name in totals and len(totals[name][0]) == len(sums):
+            held = totals[name]
+            totals[name] = (held[0] + sums, held[1] + counts)
+        elif name in totals:
+            size = max(len(totals[name][0]), len(sums))
+            wide = [np.pad(part, (0, size - len(part))) for part in (*totals[name], sums, counts)]
+            totals[name] = (wide[0] + wide[2], wide[1] + wide[3])
+        else:
+            totals[name] = (np.array(sums, float), np.array(counts, np.int64))
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict = {}
+        for batch in batches:
+            lists = batch.column(1)
+            starts, values = flat_lists(lists)
+            flat = values.to_numpy(zero_copy_only=False).astype(float)
+            there = ~np.isnan(flat) if values.null_count else np.ones(len(flat), bool)
+            flat = np.where(there, flat, 0.0)
+            for i, name in enumerate(batch.column(0).to_pylist()):
+                part = slice(starts[i], starts[i + 1])
+                if starts[i] < starts[i + 1]:
+                    add(totals, name, flat[part], there[part])
+            if len(totals) > HELD_KEYS:
+                yield sent(totals, batch.column(0).type)
+                totals = {}
+            arrow_key = batch.column(0).type
+        if totals:
+            yield sent(totals, arrow_key)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict = {}
+        for batch in batches:
+            arrow_key = batch.column(0).type
+            for name, sums, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                add(totals, name, np.array(sums), np.array(counts))
+        if totals:
+            yield sent(totals, arrow_key)
+
+    partial = vectors.select(key, embedding).mapInArrow(local, schema)
+    sums = partial.repartition(key).mapInArrow(merge, schema)
+    mean = F.zip_with("sums", "counts", lambda s, n: F.try_divide(s, n).cast("float"))
+    return sums.select(key, mean.alias("centroid"))

@@ -396,10 +396,25 @@ def _unique_sql(condition: str) -> str:
         AND NOT EXISTS (SELECT 1 FROM rows h WHERE (h.ord // 50) % 3 = 0 AND {condition})"""
 
 
-@query("d04_unique_url", _unique_sql("h.canonical_url = i.canonical_url"))
+@query(
+    "d04_unique_url",
+    f"""WITH {o.ITEMS}, spelled AS (
+        SELECT ord, trim(url) AS url FROM items UNION ALL
+        SELECT ord + 1000000000, regexp_replace(trim(url), '^(https?)://(www\\.)?', '\\1://WWW.') || '#again'
+        FROM items WHERE (ord // 50) % 3 = 0 AND ord % 4 = 0),
+    rows AS (SELECT ord, {o.canonical("url")} AS canonical_url FROM spelled)
+    SELECT ord FROM rows i WHERE (ord >= 1000000000 OR (ord // 50) % 3 <> 0)
+        AND NOT EXISTS (SELECT 1 FROM rows h WHERE h.ord < 1000000000 AND (h.ord // 50) % 3 = 0
+            AND h.canonical_url = i.canonical_url)""",
+)
 def d04(spark, folder):
-    rows = _item_rows(spark, folder)
-    return dd.new_items(rows.filter("ord div 50 % 3 <> 0"), rows.filter("ord div 50 % 3 = 0"), "url").select("ord")
+    items = fx.raw_items(spark, folder)
+    history = items.filter("ord div 50 % 3 = 0")
+    # Items of the history come again under another spelling of their address.
+    other = F.concat(F.regexp_replace(F.trim("url"), r"^(https?)://(www\.)?", "$1://WWW."), F.lit("#again"))
+    again = history.filter("ord % 4 = 0").withColumns({"ord": F.col("ord") + 1_000_000_000, "url": other})
+    incoming = items.filter("ord div 50 % 3 <> 0").unionByName(again)
+    return dd.new_items(ar.article_rows(incoming), ar.article_rows(history), "url").select("ord")
 
 
 @query("d05_unique_guid", _unique_sql("h.source_id = i.source_id AND h.guid = i.guid"))

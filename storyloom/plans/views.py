@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from storyloom.functions.dates import effective_time
 from storyloom.functions.text import excerpt
 from storyloom.settings import PAGE_SIZE
-from storyloom.tables import page_rows
+from storyloom.tables import page_rows, written
 
 
 def with_source(articles: DataFrame, sources: DataFrame) -> DataFrame:
@@ -52,8 +52,9 @@ def list_stories(
 ) -> DataFrame:
     """Stories with source count, latest time and the excerpt of the latest article.
 
-    Pages are cut on the narrow (story, latest time) aggregate; the distinct
-    count and the excerpt are computed for the stories of the page only.
+    Without a limit one aggregation gives all of it.  A page is cut on the narrow
+    (story, latest time) aggregate and written once; the distinct count and the
+    excerpt are then computed for its stories only.
     """
     order = [F.col("latest_at").desc_nulls_last(), F.col("id")]
     filled = stories.filter("article_count > 0")
@@ -61,20 +62,19 @@ def list_stories(
         F.col("story_id").alias("id"), F.col("id").alias("article_id"),
         "source_id", "excerpt", effective_time().alias("at"),
     )
-    latest = members.groupBy("id").agg(F.max("at").alias("latest_at"))
-    page = filled.join(latest, "id", "left")
-    if limit is not None:
-        page = page.orderBy(*order).offset(offset).limit(limit)
-        members = members.join(F.broadcast(page.select("id")), "id", "left_semi")
-    facts = members.groupBy("id").agg(
+    latest = F.max("at").alias("latest_at")
+    facts = [
         F.count_distinct("source_id").alias("source_count"),
         F.max_by("excerpt", F.struct("at", "article_id")).alias("excerpt"),
-    )
-    return (
-        page.join(facts, "id", "left")
-        .withColumn("source_count", F.coalesce("source_count", F.lit(0)))
-        .orderBy(*order)
-    )
+    ]
+    if limit is None:
+        listed = filled.join(members.groupBy("id").agg(latest, *facts), "id", "left")
+    else:
+        page = filled.join(members.groupBy("id").agg(latest), "id", "left")
+        page = written(page.orderBy(*order).offset(offset).limit(limit), "story-page")
+        chosen = members.join(F.broadcast(page.select("id")), "id", "left_semi")
+        listed = page.join(chosen.groupBy("id").agg(*facts), "id", "left")
+    return listed.withColumn("source_count", F.coalesce("source_count", F.lit(0))).orderBy(*order)
 
 
 def story_by_id(stories: DataFrame, story_id: int) -> DataFrame:
