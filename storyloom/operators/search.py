@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -171,7 +170,7 @@ def query_units(query: Column) -> Column:
 
 def parse_query(spark, query: str) -> list[list[Clause]]:
     """One search string as alternatives of clauses (a few values, on the driver)."""
-    text = re.sub(r"\s+", " ", query.strip())[:500]
+    text = query.strip()[:500]
     row = spark.range(1).select(query_units(F.lit(text)).alias("units")).first()
     conjs: dict[int, list[Clause]] = {}
     for unit in row.units:

@@ -650,6 +650,16 @@ def c06(spark, folder):
     return placed.select("id", "story_id")
 
 
+@query(
+    "c06_recluster_window",
+    f"{o.CLUSTERED} SELECT a.id, c.story_id FROM articles a LEFT JOIN assigned c ON c.id = a.id",
+)
+def c06_window(spark, folder):
+    """As the polling cycle does it: within the look-back, which bounds the work per article."""
+    placed, _ = cl.recluster(fx.placed_articles(spark, folder), fx.latest_fetch(spark, folder))
+    return placed.select("id", "story_id")
+
+
 @query(
     "c07_embed_and_cluster",
     f"""{o.CLUSTERED} SELECT s.id, s.title, CAST(count(*) AS INT) AS article_count, s."at" AS first_seen_at
