@@ -189,14 +189,15 @@ def near_links(distinct: DataFrame, distance: int = DISTANCE, pairs_per_key: int
         near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
         found.append(probe.join(index, same & (F.col("a") < F.col("b")) & near).select("a", "b"))
         made = []
-        # One mask per choice of parts so far: a handful.
-        masks = [r.mask % (1 << BITS) for r in crowded.select("mask").distinct().collect()]
-        again = lookup(keyed, crowded, ["mask", "key"]) if masks else keyed
-        for mask in masks:
-            own = again.filter(F.col("mask") == _signed(mask))
-            for part in _parts_left(mask, distance):
-                key = F.col("key").bitwiseOR(_and(F.col("value"), part))
-                made.append(own.withColumns({"key": key, "mask": F.lit(_signed(mask | part))}))
+        # One mask per choice of parts so far; a plan of one size refines them all.
+        masks = [r.mask for r in crowded.select("mask").distinct().collect()]
+        if masks:
+            parts = [(m, _signed(p)) for m in masks for p in _parts_left(m % (1 << BITS), distance)]
+            parts = F.broadcast(distinct.sparkSession.createDataFrame(parts, "mask long, part long"))
+            again = lookup(keyed, crowded, ["mask", "key"]).join(parts, "mask")
+            key = F.col("key").bitwiseOR(F.col("value").bitwiseAND(F.col("part")))
+            mask = F.col("mask").bitwiseOR(F.col("part"))
+            made = [again.select("value", key.alias("key"), "probe", mask.alias("mask"))]
     if not found:
         return distinct.select(F.col("value").alias("a"), F.col("value").alias("b")).limit(0)
     return reduce(DataFrame.unionByName, found).distinct()
