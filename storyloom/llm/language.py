@@ -267,7 +267,7 @@ def summed(streams, frame: DataFrame) -> np.ndarray:
     schema = "block int, counts binary"
     total = np.zeros((cells // BLOCK, BLOCK), np.int32)
     merged = frame.mapInArrow(local, schema).repartition("block").mapInArrow(merge, schema)
-    for r in merged.toLocalIterator():
+    for r in merged.collect():
         total[r["block"]] = np.frombuffer(r["counts"], np.int32)
     return total.reshape(PREDICTORS, 1 << SLOT_BITS, 2)
 
@@ -300,9 +300,9 @@ class Model:
         coded.sort(key=lambda r: (-r["n"], bytes(r["word"])))
         counts = [r["n"] for r in coded]
         self.escapes = self.total - sum(counts)
-        self.code = Code([bytes(r["word"]) for r in coded], counts, self.escapes)
+        self.code = Code([bytes(r["word"]) for r in coded], counts, self.escapes + once)
         # Good and Turing: words seen once stand for words not seen.
-        self.seen = 1.0 - min(max(once / max(self.escapes, 1), 0.001), 0.5)
+        self.seen = min(self.escapes / max(self.escapes + once, 1), 0.999)
         code = spark.sparkContext.broadcast(self.code)
 
         def word_bits(batches):
@@ -318,7 +318,8 @@ class Model:
                     found, _, bits, _ = spelled_bits(words[at : at + MIX_WORDS])
                     yield found, bits
 
-        tail = vocab.filter(F.col("n") < least).select("word")
+        # Every different word teaches spelling, so that small inputs do as well.
+        tail = vocab.filter(F.length("word") > 0).select("word")
         kept = F.pmod(F.crc32("word"), F.lit(8)) == 0
         tables = summed(word_bits, docs.filter(F.col("part") != MIX_FOLD).select("text"))
         words = spark.sparkContext.broadcast(Mixer(tables))
