@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from itertools import combinations
 
@@ -49,11 +50,15 @@ def fingerprint_of(words: list[bytes], size: int = WORDS, seed: int = SEED) -> i
     return int(value[0])
 
 
-@F.arrow_udf(T.LongType())
-def fingerprint(texts: pa.Array) -> pa.Array:
+def fingerprint(text: Column, size: int = WORDS) -> Column:
     """Signed 64-bit fingerprint; bytes.lower and bytes.split know ASCII only, as the rule wants."""
-    found = (fingerprint_of(t.encode().lower().split()) for t in texts.fill_null("").to_pylist())
-    return pa.array(np.fromiter(found, np.uint64).view(np.int64))
+
+    @F.arrow_udf(T.LongType())
+    def made(texts: pa.Array) -> pa.Array:
+        found = (fingerprint_of(t.encode().lower().split(), size) for t in texts.fill_null("").to_pylist())
+        return pa.array(np.fromiter(found, np.uint64).view(np.int64))
+
+    return made(text)
 
 
 def groups_of_bits(values: np.ndarray, parts: int) -> list[list[int]]:
@@ -203,31 +208,40 @@ def near_links(distinct: DataFrame, distance: int = DISTANCE, pairs_per_key: int
     return reduce(DataFrame.unionByName, found).distinct()
 
 
-def near_groups(docs: DataFrame, document_id: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
+def grouped(marked: DataFrame, links_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """doc_id, value, component_id of every row of the written table ``marked`` (doc_id, value)."""
+    distinct = written(marked.groupBy("value").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    roots = components(links_of(distinct.select("value")))
+    members = distinct.join(written(roots, "simhash-roots"), F.col("value") == F.col("node"), "left")
+    members = written(members.select("value", "least", F.coalesce("root", "value").alias("root")), "simhash-members")
+    least = members.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_value = lookup(members.select("value", "root"), least, "root", "inner").select("value", "component_id")
+    return lookup(marked, of_value, "value", "inner").select("doc_id", "value", "component_id")
+
+
+def kept_of_groups(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = written(kept.select("doc_id").distinct(), "simhash-kept")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+
+
+def near_groups(
+    docs: DataFrame, document_id: str = "doc_id", text: str = "text", distance: int = DISTANCE, words: int = WORDS
+) -> DataFrame:
     """doc_id, fingerprint (signed), component_id of every row.
 
     Null counts as empty, and texts without words have fingerprint 0, linked like
     any other.  ``component_id`` is the smallest id that links reach, null only
     if no row reached has an id.
     """
-    marked = docs.select(F.col(document_id).alias("doc_id"), fingerprint(F.col(text)).alias("value"))
+    marked = docs.select(F.col(document_id).alias("doc_id"), fingerprint(F.col(text), words).alias("value"))
     marked = written(marked, "simhash-marked")
-    distinct = written(marked.groupBy("value").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    roots = components(near_links(distinct.select("value"), distance))
-    members = distinct.join(written(roots, "simhash-roots"), F.col("value") == F.col("node"), "left")
-    members = written(members.select("value", "least", F.coalesce("root", "value").alias("root")), "simhash-members")
-    least = members.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_value = lookup(members.select("value", "root"), least, "root", "inner").select("value", "component_id")
-    return lookup(marked, of_value, "value", "inner").select(
-        "doc_id", F.col("value").alias("fingerprint"), "component_id"
-    )
+    return grouped(marked, lambda values: near_links(values, distance)).withColumnRenamed("value", "fingerprint")
 
 
 def near_dedup(docs: DataFrame, **options) -> DataFrame:
     """Rows of ``docs`` whose id is the smallest of their group; of repeated rows all stay."""
-    kept = near_groups(docs, **options).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = written(kept.select("doc_id").distinct(), "simhash-kept")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    return kept_of_groups(docs, near_groups(docs, **options))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
