@@ -20,9 +20,10 @@ from storyloom.tables import written
 
 HELD_FOLDS = 7
 HELD = 2
-# Of the folds that are learned from, this one fits weights and the others fill tables.
+# Of the folds that are learned from, this one fits weights while the others fill the
+# tables; then its counts are added.
 MIX_FOLD = 6
-MIX_DOCUMENTS = 512
+MIX_ROUNDS = 3
 MIX_WORDS = 20_000
 # Words with a code of their own; a size of the model, as are the slots of a table.
 CODED = 1 << 17
@@ -148,6 +149,18 @@ class Mixer:
         self.weights[:, :, 0] = 0.0
         self.refined = np.tile(sigmoid(self.centres()), (16, 1))
 
+    def start_from(self, flat: np.ndarray) -> None:
+        """Take weights and refinement from one array."""
+        weights, refined = flat[: self.weights.size], flat[self.weights.size :]
+        self.weights = weights.reshape(self.weights.shape).copy()
+        self.refined = refined.reshape(self.refined.shape).copy()
+
+    def with_counts(self, counts: np.ndarray) -> Mixer:
+        """The same weights and refinement over other tables."""
+        mixer = Mixer(counts)
+        mixer.weights, mixer.refined = self.weights, self.refined
+        return mixer
+
     @staticmethod
     def centres() -> np.ndarray:
         return (np.arange(BUCKETS) + 0.5) * 24.0 / BUCKETS - 12.0
@@ -272,6 +285,31 @@ def summed(streams, frame: DataFrame) -> np.ndarray:
     return total.reshape(PREDICTORS, 1 << SLOT_BITS, 2)
 
 
+def fit(shared, frame: DataFrame, learn, rounds: int = MIX_ROUNDS) -> None:
+    """Fit the weights and the refinement of the broadcast mixer to all rows of ``frame``.
+
+    Per round every partition goes through its rows online, from where the last
+    round ended; the results are averaged by the number of rows.
+    """
+    mixer = shared.value
+    for _ in range(rounds):
+        start = np.concatenate([mixer.weights.ravel(), mixer.refined.ravel()])
+
+        def local(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
+            own = shared.value
+            own.start_from(start)
+            rows = learn(own, batches)
+            ends = np.concatenate([own.weights.ravel(), own.refined.ravel()])
+            yield pa.RecordBatch.from_arrays([pa.array([rows]), pa.array([ends.tolist()])], names=["rows", "ends"])
+
+        each = frame.mapInArrow(local, "rows bigint, ends array<double>").filter("rows > 0")
+        each = each.select("rows", F.posexplode("ends").alias("place", "end"))
+        mean = F.sum(F.col("end") * F.col("rows")) / F.sum("rows")
+        for r in each.groupBy("place").agg(mean.alias("end")).collect():
+            start[r["place"]] = r["end"]
+        mixer.start_from(start)
+
+
 def token_blocks(code: Code, symbols: np.ndarray, first: np.ndarray, tokens: int = 1 << 16):
     """Bits of a run of tokens, some tokens at a time: (from, found, gate, bits, token)."""
     contexts = code.contexts(symbols, first)
@@ -321,41 +359,36 @@ class Model:
         # Every different word teaches spelling, so that small inputs do as well.
         tail = vocab.filter(F.length("word") > 0).select("word")
         kept = F.pmod(F.crc32("word"), F.lit(8)) == 0
-        tables = summed(word_bits, docs.filter(F.col("part") != MIX_FOLD).select("text"))
-        words = spark.sparkContext.broadcast(Mixer(tables))
-        letters = spark.sparkContext.broadcast(Mixer(summed(tail_bits, tail.filter(~kept))))
+        tables = summed(word_bits, docs.filter(F.col("part") != MIX_FOLD).select("text")).astype(np.int64)
+        spelled = summed(tail_bits, tail.filter(~kept)).astype(np.int64)
+        words, letters = (spark.sparkContext.broadcast(Mixer(t)) for t in (tables, spelled))
 
-        def fit_words(batches):
-            mixer = words.value
+        def fit_words(mixer, batches):
+            rows = 0
             for _, lists in text_batches(batches):
+                rows += len(lists)
                 symbols, first, _ = flat_symbols(code.value, lists)
                 for _, found, gate, bits, _ in token_blocks(code.value, symbols, first):
                     mixer.learn(found, gate, bits)
-            yield fitted(mixer)
+            return rows
 
-        def fit_letters(batches):
-            mixer = letters.value
+        def fit_letters(mixer, batches):
+            rows = 0
             for batch in batches:
                 spelling = batch.column("word").to_pylist()
+                rows += len(spelling)
                 for at in range(0, len(spelling), 1_000):
                     found, gate, bits, _ = spelled_bits(spelling[at : at + 1_000])
                     mixer.learn(found, gate, bits)
-            yield fitted(mixer)
-
-        def fitted(mixer: Mixer) -> pa.RecordBatch:
-            columns = [pa.array([a.ravel().tolist()]) for a in (mixer.weights, mixer.refined)]
-            return pa.RecordBatch.from_arrays(columns, names=["weights", "refined"])
-
-        # Online learning goes through its rows in order: a bounded sample, in one task.
-        schema = "weights array<double>, refined array<double>"
-        sample = docs.filter(F.col("part") == MIX_FOLD).select("text")
-        sample = sample.orderBy(F.xxhash64("text")).limit(MIX_DOCUMENTS).coalesce(1)
-        spellings = tail.filter(kept).orderBy(F.xxhash64("word")).limit(MIX_WORDS).coalesce(1)
-        self.words, self.letters = words.value, letters.value
-        for mixer, frame, fit in ((self.words, sample, fit_words), (self.letters, spellings, fit_letters)):
-            for r in frame.mapInArrow(fit, schema).collect():
-                mixer.weights = np.array(r["weights"]).reshape(mixer.weights.shape)
-                mixer.refined = np.array(r["refined"]).reshape(mixer.refined.shape)
+            return rows
+
+        sample = written(docs.filter(F.col("part") == MIX_FOLD).select("text"), "lm-mix")
+        spellings = tail.filter(kept)
+        fit(words, sample, fit_words)
+        fit(letters, spellings, fit_letters)
+        # With the weights known, the rows that fitted them teach contexts as well.
+        self.words = words.value.with_counts(tables + summed(word_bits, sample))
+        self.letters = letters.value.with_counts(spelled + summed(tail_bits, spellings))
 
     def spell(self, words: list[bytes]) -> np.ndarray:
         """log10 probability of each word by its letters."""
