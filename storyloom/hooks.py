@@ -50,8 +50,8 @@ def summarize_stories(
     """(story_id, summary); by default the opening of the first article.
 
     A summarizer turns all (title, content) pairs of a story, oldest first, into
-    one text.  It sees the story whole, so a task holds one story at a time; use
-    ``summarize_in_parts`` where stories may not fit.
+    one text.  It sees the story whole, so a task holds one story at a time: for
+    stories whose size is bounded.  Use ``summarize_in_parts`` for all others.
     """
     if summarizer is None:
         return lead_summaries(articles)

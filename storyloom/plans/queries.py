@@ -1057,4 +1057,4 @@ def u03(spark, folder):
     # Every third article belongs to one large story.
     rows = fx.placed_articles(spark, folder)
     rows = rows.withColumn("story_id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("story_id")))
-    return hooks.summarize_stories(rows, lambda pairs: "; ".join(title[:10] for title, _ in pairs))
+    return hooks.summarize_in_parts(rows, lambda pairs: "; ".join(title[:10] for title, _ in pairs), "; ".join)
