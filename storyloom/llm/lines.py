@@ -111,7 +111,8 @@ def near_lines(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     states = written(shared(text.select(*LINE, "first", halved).select(*LINE, "first", "state.*")), "line-windows")
     short = []
     while True:
-        short.append(states.filter(F.length("window") <= WINDOW))
+        # One character more belongs to both: its partner may be short or long.
+        short.append(states.filter(F.length("window") <= WINDOW + 1))
         long = states.filter(F.length("window") > WINDOW)
         if long.isEmpty():
             break
