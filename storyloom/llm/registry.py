@@ -1,7 +1,9 @@
 """Queries of this folder and their SQL."""
 
-from storyloom.llm import exact, lines
+from storyloom.llm import centroids, exact, lines
+from storyloom.llm.alignment import op13_alignment
 from storyloom.llm.bpe import op1_bpe
+from storyloom.llm.centroids import op12_centroids
 from storyloom.llm.exact import op8_exact_dedup
 from storyloom.llm.language import op7_language_model
 from storyloom.llm.lines import op2_line_dedup
@@ -23,7 +25,13 @@ OPERATORS = (
     op8_exact_dedup,
     op9_neighbours,
     op10_simhash,
+    op12_centroids,
+    op13_alignment,
 )
 QUERIES = {f.__name__: f for f in OPERATORS}
 
-ORACLES = {"op2_line_dedup": lines.ORACLE, "op8_exact_dedup": exact.ORACLE}
+ORACLES = {
+    "op2_line_dedup": lines.ORACLE,
+    "op8_exact_dedup": exact.ORACLE,
+    "op12_centroids": centroids.ORACLE,
+}
