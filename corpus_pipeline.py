@@ -11,7 +11,7 @@ from storyloom.llm.bpe import digests, encode_documents
 from storyloom.llm.common import table
 from storyloom.llm.exact import exact_dedup
 from storyloom.llm.mixing import mixed_documents
-from storyloom.llm.similar import similar_dedup
+from storyloom.llm.simhash import near_dedup
 from storyloom.llm.toxicity import without_toxic
 from storyloom.tables import written
 
@@ -27,8 +27,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by 0.8 or more of their 5-word shingles, that with the smallest id stays."""
-    return similar_dedup(docs)
+    """Of documents whose 3-word SimHash fingerprints link at 2 bits or fewer, that with the smallest id stays."""
+    return near_dedup(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
