@@ -9,6 +9,7 @@ from storyloom.llm.language import op7_language_model
 from storyloom.llm.lines import op2_line_dedup
 from storyloom.llm.mixing import op4_mixing
 from storyloom.llm.neighbours import op9_neighbours
+from storyloom.llm.personal import op11_personal
 from storyloom.llm.quality import op5_quality
 from storyloom.llm.simhash import op10_simhash
 from storyloom.llm.substring import op6_substring
@@ -25,6 +26,7 @@ OPERATORS = (
     op8_exact_dedup,
     op9_neighbours,
     op10_simhash,
+    op11_personal,
     op12_centroids,
     op13_alignment,
 )
