@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from storyloom.functions.binding import let
 from storyloom.functions.dates import effective_time
+from storyloom.operators.stored_index import StoredIndex
 from storyloom.tables import page_rows
 
 # Weight of a title and of a body occurrence.
@@ -117,15 +118,6 @@ def labelled_postings(index: DataFrame) -> DataFrame:
     return index.select("lex", "article_id", F.inline(labels)).filter("tf > 0")
 
 
-def write_postings(index: DataFrame, path: str, buckets: int = 256) -> None:
-    """Store the index by hash bucket of the lexeme, for pruned reads.
-
-    Common lexemes are spread over all tasks; each bucket gets several files.
-    """
-    bucket = F.pmod(F.xxhash64("lex"), F.lit(buckets)).cast("int")
-    index.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(path)
-
-
 # --- queries ------------------------------------------------------------------
 
 
@@ -183,16 +175,22 @@ def parse_query(spark, query: str) -> list[list[Clause]]:
 # --- search -------------------------------------------------------------------
 
 
-def matches(index: DataFrame, articles: DataFrame, query: str) -> DataFrame:
+def matches(index: DataFrame | StoredIndex, articles: DataFrame, query: str) -> DataFrame:
     """(article_id, rank) of all articles that match.
 
-    Only postings of the query's own lexemes are read.  One aggregation per
-    article evaluates the whole condition and the rank.
+    Of a stored index only the parts and row groups with the query's own lexemes
+    are read.  One aggregation per article evaluates the whole condition and the rank.
     """
     return _matches(index, articles, parse_query(index.sparkSession, query))
 
 
-def _matches(index: DataFrame, articles: DataFrame, alternatives: list[list[Clause]]) -> DataFrame:
+def _postings_of(index: DataFrame | StoredIndex, words: set[str]) -> DataFrame:
+    if isinstance(index, StoredIndex):
+        return index.postings(words)
+    return index.filter(F.col("lex").isin(*words))
+
+
+def _matches(index: DataFrame | StoredIndex, articles: DataFrame, alternatives: list[list[Clause]]) -> DataFrame:
     everything = {w for conj in alternatives for c in conj for _, w in c.lexemes}
     ranked = {w for conj in alternatives for c in conj if not c.negated for _, w in c.lexemes}
     needs_all = any(all(c.negated for c in conj) for conj in alternatives)
@@ -209,7 +207,7 @@ def _matches(index: DataFrame, articles: DataFrame, alternatives: list[list[Clau
         columns.append(F.count_if(here).alias(name))
         if word in phrases:
             columns.append(F.first(F.when(here, F.col("positions")), ignorenulls=True).alias(f"{name}p"))
-    found = index.filter(F.col("lex").isin(*everything)).groupBy("article_id").agg(*columns)
+    found = _postings_of(index, everything).groupBy("article_id").agg(*columns)
     if needs_all:
         # Articles without any of the words may match a pure negation.
         found = articles.select(F.col("id").alias("article_id")).join(found, "article_id", "left")
@@ -244,7 +242,7 @@ def _posting_rank() -> Column:
 
 
 def search(
-    index: DataFrame,
+    index: DataFrame | StoredIndex,
     articles: DataFrame,
     sources: DataFrame,
     query: str,
@@ -277,7 +275,7 @@ def search(
     )
 
 
-def total_matches(index: DataFrame, articles: DataFrame, query: str) -> DataFrame:
+def total_matches(index: DataFrame | StoredIndex, articles: DataFrame, query: str) -> DataFrame:
     return matches(index, articles, query).agg(F.count("*").alias("total"))
 
 

@@ -2,11 +2,14 @@
 
 import re
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from storyloom.operators import alerts as al
 from storyloom.operators import search as se
+from storyloom.operators import stored_index
+from storyloom.operators.stored_index import store_index
 
 TEXTS = {
     1: ("Interest rates rise", "The bank raised interest rates. Rates of interest matter."),
@@ -128,11 +131,72 @@ def test_headline(spark):
     assert "<mark>rates,</mark> <mark>Rate</mark>" in hit
 
 
-def test_stored_index_is_pruned(spark, articles, tmp_path):
-    path = str(tmp_path / "index")
-    se.write_postings(se.postings(articles), path, buckets=4)
-    index = spark.read.parquet(path)
-    got = {r.article_id for r in se.matches(index, articles, "rates -interest").collect()}
-    assert got == expected("rates -interest")
-    plan = se.matches(index, articles, "rates")._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [" in plan and "EqualTo(lex,rate)" in plan.replace("In(lex, [rate])", "EqualTo(lex,rate)")
+def scanned(df):
+    """Files and rows that the scan of an executed plan without shuffles has read."""
+    df.collect()
+    metrics = df._jdf.queryExecution().executedPlan().collectLeaves().head().metrics()
+    # A scan of no partition at all is planned as an empty table.
+    return tuple(metrics.apply(n).value() if metrics.contains(n) else 0 for n in ("numFiles", "numOutputRows"))
+
+
+def test_searches_of_a_stored_index(articles, sources, tmp_path):
+    stored = store_index(se.postings(articles), str(tmp_path / "index"), rows_per_part=6)
+    for query in QUERIES:
+        got = {r.article_id for r in se.matches(stored, articles, query).collect()}
+        assert got == expected(query), query
+    plain = se.postings(articles)
+    for query in ("rates OR city OR bank", '"interest rates"'):
+        wanted = se.search(plain, articles, sources, query).drop("fetched_at").collect()
+        assert se.search(stored, articles, sources, query).drop("fetched_at").collect() == wanted
+
+
+def test_parts_follow_each_other(spark, tmp_path):
+    """A lexeme of a third of all postings is cut like any other."""
+    rows = spark.range(3_000).select(
+        F.when(F.col("id") % 3 == 0, "common").otherwise(F.concat(F.lit("w"), F.lpad((F.col("id") % 500).cast("string"), 4, "0"))).alias("lex"),
+        F.col("id").alias("article_id"), F.lit(0).alias("title_tf"), F.lit(1).alias("body_tf"), F.array(F.lit(1)).alias("positions"),
+    )
+    stored = store_index(rows, str(tmp_path / "index"), rows_per_part=300)
+    parts = stored.parts().orderBy("first", "last").collect()
+    assert 8 <= len(parts) <= 10 and sum(r.rows for r in parts) == 3_000
+    assert all(a.last <= b.first for a, b in zip(parts, parts[1:]))
+    assert max(r.rows for r in parts) < 700
+    assert sum(r.first == r.last == "common" for r in parts) >= 2
+    for name in tmp_path.glob("index/postings/part=*/*.parquet"):
+        read = pq.read_table(name)
+        keys = list(zip(read["lex"].to_pylist(), read["article_id"].to_pylist()))
+        assert keys == sorted(keys)
+    found = stored.postings(["w0007"])
+    files, read = scanned(found)
+    assert files <= 2 and read < 700
+    assert sorted(r.article_id for r in found.collect()) == [n for n in range(3_000) if n % 500 == 7 and n % 3]
+    assert stored.postings(["common"]).count() == 1_000
+    # Beyond both ends, between two lexemes and without any.
+    for words in (["a"], ["zz"], ["w0007x"], []):
+        assert stored.postings(words).count() == 0
+    assert scanned(stored.postings(["zz"]))[0] == 0
+
+
+def test_row_groups_are_skipped(spark, tmp_path, monkeypatch):
+    """Of one file of many row groups, those of other lexemes are not read."""
+    monkeypatch.setattr(stored_index, "ROW_GROUP_BYTES", 64 << 10)
+    rows = spark.range(200_000).select(
+        F.concat(F.lit("w"), F.lpad((F.col("id") % 1_000).cast("string"), 4, "0")).alias("lex"),
+        F.col("id").alias("article_id"), F.xxhash64("id").alias("noise"),
+    )
+    stored = store_index(rows, str(tmp_path / "index"))
+    (name,) = tmp_path.glob("index/postings/part=*/*.parquet")
+    groups = pq.ParquetFile(name).metadata
+    holding = 0
+    for n in range(groups.num_row_groups):
+        facts = groups.row_group(n).column(0).statistics
+        holding += facts.min <= "w0500" <= facts.max
+    assert groups.num_row_groups > 10 and holding <= 2
+    files, read = scanned(stored.postings(["w0500"]))
+    assert files == 1 and 200 <= read < 200_000 * 3 / groups.num_row_groups
+
+
+def test_empty_index(spark, articles, tmp_path):
+    stored = store_index(se.postings(articles.limit(0)), str(tmp_path / "index"))
+    assert stored.postings(["rate"]).count() == 0
+    assert se.matches(stored, articles.limit(0), "rates").count() == 0
