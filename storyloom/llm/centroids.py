@@ -166,15 +166,16 @@ def clusters(
 def with_inertia(assigned: DataFrame, centroids: np.ndarray) -> DataFrame:
     """Add the distances summed per cluster and over all, and each centroid's digest.
 
-    One row per centroid is joined, which ``count`` bounds.
+    One row per centroid is fetched and joined, which ``count`` bounds.
     """
     assigned = written(assigned, "centroid-assigned")
-    sums = assigned.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia"))
-    total = assigned.agg(F.sum("distance").alias("inertia"))
-    named = [(i, ",".join(map(str, c.tolist()))) for i, c in enumerate(centroids)]
-    digests = assigned.sparkSession.createDataFrame(named, "cluster int, components string")
-    digests = digests.select("cluster", F.sha2("components", 256).alias("centroid_sha256"))
-    facts = sums.join(digests, "cluster").crossJoin(total)
+    sums = {r.cluster: r.total for r in assigned.groupBy("cluster").agg(F.sum("distance").alias("total")).collect()}
+    named = [
+        (i, sums[i], sum(sums.values()), ",".join(map(str, c.tolist()))) for i, c in enumerate(centroids) if i in sums
+    ]
+    facts = assigned.sparkSession.createDataFrame(
+        named, "cluster int, cluster_inertia bigint, inertia bigint, components string"
+    ).withColumn("centroid_sha256", F.sha2("components", 256))
     return assigned.join(F.broadcast(facts), "cluster").select(
         "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
     )
