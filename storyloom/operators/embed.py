@@ -90,68 +90,125 @@ def cosine_similarity(a: Column, b: Column) -> Column:
 
 
 # Keys whose sums a task holds before it sends them on.
-HELD_KEYS = 20_000
+HELD_KEYS = 4_096
 
+_SUMS = "sums array<double>, counts array<bigint>"
+
+
+def _packed(names: list, sums: list, counts: list, key: str, kind: pa.DataType) -> pa.RecordBatch:
+    def lists(parts: list, to: pa.DataType) -> pa.ListArray:
+        ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else [], to))
+
+    columns = [pa.array(names, kind), lists(sums, pa.float64()), lists(counts, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=[key, "sums", "counts"])
+
+
+def _added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sum of two arrays; the shorter one counts as padded with zeros."""
+    if len(a) < len(b):
+        a, b = b, a
+    a = a.copy()
+    a[: len(b)] += b
+    return a
 
-def centroids(vectors: DataFrame, key: str, embedding: str = "embedding") -> DataFrame:
-    """Element-wise mean per key; null vectors and null elements do not count.
 
-    A task adds the vectors of each key up and sends one array per key, so a key
-    with very many vectors costs one row per task; the arrays of a key are added
-    in a second pass of the same kind.
+def _column_sums(flat: np.ndarray, starts: np.ndarray, first: int, last: int) -> np.ndarray:
+    """Sum, place by place, of the lists ``first`` to ``last`` (exclusive)."""
+    sizes = np.diff(starts[first : last + 1])
+    part = flat[starts[first] : starts[last]]
+    if (sizes == sizes[0]).all():
+        return part.reshape(last - first, sizes[0]).sum(axis=0)
+    total = np.zeros(0, flat.dtype)
+    for row in range(first, last):
+        total = _added(total, flat[starts[row] : starts[row + 1]])
+    return total
+
+
+def merge_sums(parts: DataFrame, key: str) -> DataFrame:
+    """One row (key, sums, counts) per key from any number of such rows.
+
+    Rows of a key follow each other within a task, which holds the sums of one key at a
+    time besides the batch it reads, however many keys there are.
+    """
+    kind = parts.schema[key].dataType.simpleString()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, sums, counts, arrow_kind = None, None, None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            arrow_kind = batch.column(0).type
+            names = batch.column(0).to_pylist()
+            flat = []
+            for column in (1, 2):
+                starts, values = flat_lists(batch.column(column))
+                flat.append((values.to_numpy(zero_copy_only=False), starts))
+            edges = [0, *(n for n in range(1, len(names)) if names[n] != names[n - 1]), len(names)]
+            ready: tuple[list, list, list] = ([], [], [])
+            for first, last in zip(edges, edges[1:]):
+                more = [_column_sums(values, starts, first, last) for values, starts in flat]
+                if sums is not None and names[first] == held:
+                    sums, counts = _added(sums, more[0]), _added(counts, more[1])
+                    continue
+                if sums is not None:
+                    for out, value in zip(ready, (held, sums, counts)):
+                        out.append(value)
+                held, (sums, counts) = names[first], more
+            if ready[0]:
+                yield _packed(*ready, key, arrow_kind)
+        if sums is not None:
+            yield _packed([held], [sums], [counts], key, arrow_kind)
+
+    together = parts.select(key, "sums", "counts").repartition(key).sortWithinPartitions(key)
+    return together.mapInArrow(merge, f"`{key}` {kind}, {_SUMS}")
+
+
+def vector_sums(vectors: DataFrame, key: str, embedding: str = "embedding") -> DataFrame:
+    """(key, sums, counts) per place of the vectors of each key; nulls do not count.
+
+    A task adds the vectors of each key up and sends one array per key, so a key with
+    very many vectors costs one row per task.
     """
     kind = vectors.schema[key].dataType.simpleString()
-    names = [key, "sums", "counts"]
-    schema = f"`{key}` {kind}, sums array<double>, counts array<bigint>"
-
-    def sent(totals: dict, arrow_key: pa.DataType) -> pa.RecordBatch:
-        columns = [
-            pa.array(list(totals), arrow_key),
-            pa.array([t[0] for t in totals.values()], pa.list_(pa.float64())),
-            pa.array([t[1] for t in totals.values()], pa.list_(pa.int64())),
-        ]
-        return pa.RecordBatch.from_arrays(columns, names=names)
-
-    def add(totals: dict, name, sums: np.ndarray, counts: np.ndarray) -> None:
-        if name in totals and len(totals[name][0]) == len(sums):
-            held = totals[name]
-            totals[name] = (held[0] + sums, held[1] + counts)
-        elif name in totals:
-            size = max(len(totals[name][0]), len(sums))
-            wide = [np.pad(part, (0, size - len(part))) for part in (*totals[name], sums, counts)]
-            totals[name] = (wide[0] + wide[2], wide[1] + wide[3])
-        else:
-            totals[name] = (np.array(sums, float), np.array(counts, np.int64))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict = {}
+
+        def packed(arrow_kind: pa.DataType) -> pa.RecordBatch:
+            values = list(totals.values())
+            return _packed(list(totals), [v[0] for v in values], [v[1] for v in values], key, arrow_kind)
+
+        arrow_kind = None
         for batch in batches:
-            lists = batch.column(1)
-            starts, values = flat_lists(lists)
+            arrow_kind = batch.column(0).type
+            starts, values = flat_lists(batch.column(1))
             flat = values.to_numpy(zero_copy_only=False).astype(float)
             there = ~np.isnan(flat) if values.null_count else np.ones(len(flat), bool)
-            flat = np.where(there, flat, 0.0)
+            flat, there = np.where(there, flat, 0.0), there.astype(np.int64)
             for i, name in enumerate(batch.column(0).to_pylist()):
                 part = slice(starts[i], starts[i + 1])
-                if starts[i] < starts[i + 1]:
-                    add(totals, name, flat[part], there[part])
+                if starts[i] == starts[i + 1]:
+                    continue
+                if name in totals:
+                    held = totals[name]
+                    totals[name] = (_added(held[0], flat[part]), _added(held[1], there[part]))
+                else:
+                    totals[name] = (flat[part].copy(), there[part].copy())
             if len(totals) > HELD_KEYS:
-                yield sent(totals, batch.column(0).type)
+                yield packed(arrow_kind)
                 totals = {}
-            arrow_key = batch.column(0).type
         if totals:
-            yield sent(totals, arrow_key)
+            yield packed(arrow_kind)
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict = {}
-        for batch in batches:
-            arrow_key = batch.column(0).type
-            for name, sums, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                add(totals, name, np.array(sums), np.array(counts))
-        if totals:
-            yield sent(totals, arrow_key)
+    return merge_sums(vectors.select(key, embedding).mapInArrow(local, f"`{key}` {kind}, {_SUMS}"), key)
+
+
+def mean_vector(sums: Column, counts: Column) -> Column:
+    return F.zip_with(sums, counts, lambda s, n: F.try_divide(s, n).cast("float"))
 
-    partial = vectors.select(key, embedding).mapInArrow(local, schema)
-    sums = partial.repartition(key).mapInArrow(merge, schema)
-    mean = F.zip_with("sums", "counts", lambda s, n: F.try_divide(s, n).cast("float"))
-    return sums.select(key, mean.alias("centroid"))
+
+def centroids(vectors: DataFrame, key: str, embedding: str = "embedding") -> DataFrame:
+    """Element-wise mean per key; null vectors and null elements do not count."""
+    sums = vector_sums(vectors, key, embedding)
+    return sums.select(key, mean_vector(F.col("sums"), F.col("counts")).alias("centroid"))

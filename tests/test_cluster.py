@@ -144,3 +144,43 @@ def test_centroids(spark):
     rows = spark.createDataFrame([(1, [1.0, 2.0]), (1, [3.0, 0.0]), (2, [5.0, 5.0])], "k int, embedding array<float>")
     got = {r.k: r.centroid for r in centroids(rows, "k").collect()}
     assert got == {1: [2.0, 1.0], 2: [5.0, 5.0]}
+
+
+def test_sums_of_uneven_vectors_and_null_keys(spark):
+    rows = [(None, [1.0, None]), (None, [2.0, 5.0, 7.0]), (3, []), (3, None), (4, [float("nan"), 1.0])]
+    frame_ = spark.createDataFrame(rows, "k long, embedding array<float>").repartition(3)
+    got = {r.k: r.centroid for r in centroids(frame_, "k").collect()}
+    assert set(got) == {None, 4} and got[None] == [1.5, 5.0, 7.0]
+
+
+def test_merging_holds_one_key_at_a_time(spark):
+    """10^5 keys in one partition: memory of the worker does not grow with their number."""
+    import resource
+
+    import pyarrow as pa
+
+    from storyloom.operators.embed import merge_sums
+
+    def peak(batches):
+        for batch in batches:
+            size = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([size])], names=["rows", "peak"])
+
+    peaks, batch_rows = {}, spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        for keys in (10_000, 100_000):
+            parts = spark.range(2 * keys).select(
+                (F.col("id") % keys).alias("k"),
+                F.array_repeat(F.lit(1.0), 64).alias("sums"), F.array_repeat(F.lit(1).cast("long"), 64).alias("counts"),
+            )
+            seen = merge_sums(parts, "k").mapInArrow(peak, "rows long, peak long").collect()
+            assert sum(r.rows for r in seen) == keys
+            peaks[keys] = max(r.peak for r in seen)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch_rows)
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    # The sums of 100,000 keys would be 100 MB.
+    assert peaks[100_000] < peaks[10_000] + 40
