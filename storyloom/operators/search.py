@@ -54,8 +54,8 @@ def lexemes(text: Column) -> Column:
     )
 
 
-def postings(articles: DataFrame) -> DataFrame:
-    """Inverted index: lex, article_id, title_tf, body_tf, sorted positions.
+def postings(articles: DataFrame, *carried: str) -> DataFrame:
+    """Inverted index: lex, article_id, title_tf, body_tf, sorted positions, carried columns.
 
     Positions count every word of title then body.  The words of an article are
     sorted and cut into runs within its row, so nothing is shuffled.
@@ -74,12 +74,13 @@ def postings(articles: DataFrame) -> DataFrame:
         lambda w: w["lex"].isNotNull(),
     )
     runs = let(F.sort_array(words), lambda s: let(_run_starts(s), lambda b: _runs(s, b)))
-    return articles.select(F.col("id").alias("article_id"), F.inline(runs)).select(
+    return articles.select(F.col("id").alias("article_id"), *carried, F.inline(runs)).select(
         "lex",
         "article_id",
         "title_tf",
         (F.size("positions") - F.col("title_tf")).alias("body_tf"),
         "positions",
+        *carried,
     )
 
 
@@ -310,9 +311,12 @@ def _fragments(
 ) -> Column:
     lead = min_words // 2
 
-    def window(start: Column) -> Column:
+    def window(start: Column, place: Column) -> Column:
         begin = F.greatest(F.least(start - lead, F.size(pieces) - max_words), F.lit(0))
-        count = F.size(F.filter(hits, lambda h: (h >= begin) & (h < begin + max_words)))
+        # Hits are different places in order, so those of a window lie within that many
+        # entries of this one: the work is linear in the hits.
+        around = F.slice(hits, F.greatest(place + 1 - max_words, F.lit(1)), F.lit(2 * max_words))
+        count = F.size(F.filter(around, lambda h: (h >= begin) & (h < begin + max_words)))
         return F.struct((-count).alias("order"), begin.alias("begin"))
 
     ranked = F.array_sort(F.transform(hits, window))

@@ -192,8 +192,11 @@ def canonical(u: str) -> str:
 # --- order-dependent acceptance: one recursion step per item ----------------------
 
 
-def accepted(rows: str) -> str:
-    """CTEs ending in ``taken(acc)``: the accepted ords of ``rows`` taken one by one."""
+def accepted(rows: str, near: str = "TRUE") -> str:
+    """CTEs ending in ``taken(acc)``: the accepted ords of ``rows`` taken one by one.
+
+    ``near`` limits which earlier items i a near item j is held against.
+    """
     return f"""
     numbered AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY ord) AS n FROM {rows}),
     earlier AS MATERIALIZED (
@@ -201,7 +204,7 @@ def accepted(rows: str) -> str:
         FROM numbered j LEFT JOIN numbered i ON i.n < j.n AND (
             i.content_hash = j.content_hash OR i.canonical_url = j.canonical_url
             OR (i.source_id = j.source_id AND i.guid = j.guid)
-            OR bit_count(xor(i.simhash, j.simhash)) <= 3)
+            OR (bit_count(xor(i.simhash, j.simhash)) <= 3 AND {near}))
         GROUP BY j.n),
     steps AS (
         SELECT CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS acc

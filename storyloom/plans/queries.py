@@ -734,7 +734,36 @@ def q04(spark, folder):
     return _each_search(lambda text: se.total_matches(index, rows, text))
 
 
-@query("q05_headline")
+_MARKED = "'<mark>' || p || '</mark>'"
+
+
+@query(
+    "q05_headline",
+    f"""WITH {o.ARTICLES},
+    cut AS MATERIALIZED (SELECT id, regexp_split_to_array(trim(content), '\\s+') AS ps FROM articles),
+    piece AS MATERIALIZED (
+        SELECT id, len(ps) AS n, unnest(ps) AS p, unnest(range(len(ps))) AS i FROM cut),
+    hit AS MATERIALIZED (
+        SELECT DISTINCT id, n, i FROM (SELECT id, n, i, {o.words_of("p")} AS ws FROM piece) x,
+            LATERAL ({o.lexeme_rows("id AS found", "(SELECT x.id, x.ws)")}) l
+        WHERE list_contains(['thing', 'worthless', 'thble'], l.lex)),
+    spans AS MATERIALIZED (
+        SELECT id, b, count(*) AS hits FROM (
+            SELECT DISTINCT id, greatest(least(i - 5, n - 30), 0) AS b FROM hit) s
+        JOIN hit h USING (id) WHERE h.i >= b AND h.i < b + 30 GROUP BY id, b),
+    one AS (SELECT id, min((-hits, b)) AS x FROM spans GROUP BY id),
+    two AS (
+        SELECT s.id, min((-s.hits, s.b)) AS x FROM spans s JOIN one USING (id)
+        WHERE abs(s.b - one.x[2]) >= 30 GROUP BY s.id),
+    shown AS (SELECT id, x[2] AS b FROM one UNION ALL SELECT id, x[2] FROM two),
+    lines AS (
+        SELECT s.id, b, string_agg(CASE WHEN h.i IS NULL THEN p ELSE {_MARKED} END, ' ' ORDER BY q.i) AS line
+        FROM shown s JOIN piece q ON q.id = s.id AND q.i >= b AND q.i < b + 30
+        LEFT JOIN hit h ON h.id = q.id AND h.i = q.i GROUP BY s.id, b)
+    SELECT c.id, coalesce(
+        (SELECT string_agg(line, ' ... ' ORDER BY b) FROM lines l WHERE l.id = c.id), array_to_string(ps[1:10], ' ')) AS headline
+    FROM cut c""",
+)
 def q05(spark, folder):
     rows = fx.articles(spark, folder)
     return rows.select("id", se.headline(F.col("content"), ["thing", "worthless", "thble"]).alias("headline"))
@@ -954,8 +983,11 @@ def v08(spark, folder):
 # --- streaming and hooks --------------------------------------------------------
 
 
-def _poll(spark, folder, parts: int = 3) -> poll.PollCycle:
-    """Land the pages in a few files and run the cycle over them."""
+POLLS = 3
+
+
+def _poll(spark, folder) -> poll.PollCycle:
+    """Land the pages in ranges of arrival and run the cycle over one after another."""
     landed = new_path(spark, "landed-items")
     items = fx.raw_items(spark, folder)
     items = items.withColumns(
@@ -965,20 +997,82 @@ def _poll(spark, folder, parts: int = 3) -> poll.PollCycle:
             "fetched_at": F.col("fetched_at").cast("timestamp"),
         }
     )
-    items.repartitionByRange(parts, "ord").write.parquet(landed)
-    alerts = fx.alerts(spark, folder)
-    cycle = poll.PollCycle(spark, new_path(spark, "news-store"), alerts)
+    last = items.agg(F.max("ord")).first()[0] or 0
+    for batch in range(POLLS):
+        # Files are taken in order of their age.
+        items.filter(F.floor(F.col("ord") * POLLS / (last + 1)) == batch).coalesce(1).write.mode("append").parquet(landed)
+    cycle = poll.PollCycle(spark, new_path(spark, "news-store"), fx.alerts(spark, folder))
     stream = poll.read_items(spark, landed, max_files=1)
     cycle.start(stream, new_path(spark, "poll-progress")).awaitTermination()
     return cycle
 
 
-@query("r01_poll_cycle")
+# The cycle item by item: batches are ranges of arrival; a window ends with its batch.
+_POLL = f"""WITH RECURSIVE {o.ITEMS}, {_ITEM_KEYS}, {o.ALERTS},
+    polled AS MATERIALIZED (
+        SELECT k.*, i.title, p.body, i.published_at, {o.after("k.ord * 10 + 30")} AS fetched_at,
+            floor(k.ord * {POLLS} / ((SELECT max(ord) FROM items) + 1)) AS batch
+        FROM item_keys k JOIN items i USING (ord) JOIN plain p USING (ord)),
+    arrivals AS MATERIALIZED (SELECT *, max(fetched_at) OVER (PARTITION BY batch) AS batch_end FROM polled),
+    {o.accepted("arrivals", "(i.batch = j.batch OR i.fetched_at > j.batch_end - INTERVAL 72 HOUR)")},
+    articles AS MATERIALIZED (
+        SELECT ord, ('0x' || substr(sha256(canonical_url), 1, 15))::BIGINT AS id, canonical_url, title, body AS content,
+            coalesce(published_at, fetched_at) AS "at", fetched_at, batch, batch_end
+        FROM numbered CROSS JOIN taken WHERE list_contains(acc, n)),
+    {o.EMBEDDED},
+    unit AS MATERIALIZED (
+        SELECT id, CAST(NULL AS BIGINT) AS story_id, "at", fetched_at, batch, batch_end, CAST(embedding AS DOUBLE[]) AS v,
+            sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS len
+        FROM articles JOIN dense USING (id)),
+    best AS MATERIALIZED (
+        SELECT id, parent_id, CAST(NULL AS BIGINT) AS parent_story FROM (
+            SELECT a.id, c.id AS parent_id, round(list_dot_product(a.v, c.v) / (a.len * c.len), 9) AS sim,
+                row_number() OVER (PARTITION BY a.id ORDER BY
+                    round(list_dot_product(a.v, c.v) / (a.len * c.len), 9) DESC, c.batch = a.batch, c."at", c.id) AS rn
+            FROM unit a JOIN unit c ON c.fetched_at > a.batch_end - INTERVAL 72 HOUR AND (c.batch < a.batch
+                OR (c.batch = a.batch AND (c."at" < a."at" OR (c."at" = a."at" AND c.id < a.id))))
+            WHERE a.len > 0 AND c.len > 0)
+        WHERE rn = 1 AND sim >= 0.62),
+    {o.STORY_WALK},
+    {o.INDEX}, saved AS (SELECT id AS qid, query FROM alerts WHERE active), {o.matching("saved")},
+    sizes AS (SELECT story_id, count(*) AS story_size FROM assigned GROUP BY 1),
+    alerted AS (SELECT article_id, count(*) AS alerts FROM hits JOIN articles ON id = article_id
+        WHERE fetched_at > batch_end - INTERVAL 72 HOUR GROUP BY 1)"""
+
+
+@query(
+    "r01_poll_cycle",
+    f"""{_POLL} SELECT a.ord, a.canonical_url, a.title, s.story_id, CAST(story_size AS INT) AS story_size, alerts
+    FROM articles a JOIN assigned s USING (id) JOIN sizes USING (story_id)
+    LEFT JOIN alerted ON article_id = a.id""",
+)
 def r01(spark, folder):
     cycle = _poll(spark, folder)
-    rows = cycle.articles().join(cycle.assignments().select("id", "story_id"), "id", "left")
+    sizes = cycle.stories().select(F.col("id").alias("story_id"), F.col("article_count").alias("story_size"))
+    rows = cycle.articles().join(cycle.assignments().select("id", "story_id"), "id", "left").join(sizes, "story_id", "left")
     counts = cycle.matches().groupBy(F.col("article_id").alias("id")).agg(F.count("*").alias("alerts"))
-    return rows.join(counts, "id", "left").select("ord", "canonical_url", "title", "story_id", "alerts")
+    return rows.join(counts, "id", "left").select("ord", "canonical_url", "title", "story_id", "story_size", "alerts")
+
+
+@query(
+    "r01_stories",
+    f"""{_POLL} SELECT s.story_id AS id, seed.title, story_size AS article_count, seed."at" AS first_seen_at,
+        (SELECT max(batch_end) FROM articles JOIN assigned m USING (id) WHERE m.story_id = s.story_id) AS updated_at
+    FROM sizes s JOIN articles seed ON seed.id = s.story_id""",
+)
+def r01_stories(spark, folder):
+    """Story rows as the cycle keeps them, from sums it added to batch by batch."""
+    stories = _poll(spark, folder).stories().filter("size(centroid) = 384")
+    return stories.select("id", "title", F.col("article_count").cast("bigint").alias("article_count"), ntz("first_seen_at"), ntz("updated_at"))
+
+
+@query(
+    "r01_last_runs",
+    f"""WITH {o.ITEMS}, {o.ALERTS}
+    SELECT id, CASE WHEN active THEN (SELECT {o.after("max(ord) * 10 + 30")} FROM items) END AS last_run_at FROM alerts""",
+)
+def r01_last_runs(spark, folder):
+    return _poll(spark, folder).alert_table().select("id", ntz("last_run_at"))
 
 
 @query(

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from storyloom.operators.alerts import run_alerts
+from storyloom.functions.dates import effective_time, hours_before
+from storyloom.operators.alerts import run_alerts, stamp_runs
 from storyloom.operators.articles import article_rows
-from storyloom.operators.cluster import assign_stories, recompute_stories, seed_stories
+from storyloom.operators.cluster import assign_stories
 from storyloom.operators.dedup import decide, recent
 from storyloom.operators.embed import Embedder, backfill_embeddings, hash_embedding
 from storyloom.operators.search import postings
@@ -22,7 +23,8 @@ from storyloom.settings import (
     HAMMING_THRESHOLD,
 )
 from storyloom.sources.store import Store
-from storyloom.tables import written
+from storyloom.streaming.state import story_rows, touched_stories
+from storyloom.tables import lookup, written
 
 _TYPES = {
     "bigint": T.LongType(),
@@ -32,6 +34,8 @@ _TYPES = {
     "int": T.IntegerType(),
     "vector": T.ArrayType(T.FloatType()),
     "places": T.ArrayType(T.IntegerType()),
+    "sums": T.ArrayType(T.DoubleType()),
+    "counts": T.ArrayType(T.LongType()),
 }
 
 
@@ -61,27 +65,53 @@ POSTINGS = _schema(
 MATCHES = _schema(
     "alert_id bigint, article_id bigint, matched_at timestamp, notified boolean"
 )
+# Fetch times of every batch so far, by which reads of a window choose batches.
+SPANS = _schema("batch bigint, first timestamp, last timestamp")
+# Ids about to be placed: those of a batch that was interrupted are found here.
+PENDING = _schema("id bigint")
+STORIES = _schema(
+    """
+    id bigint, title string, first_seen_at timestamp, article_count bigint, first_at timestamp,
+    first_id bigint, first_title string, sums sums, counts counts, updated_at timestamp
+    """
+)
+ALERT_RUNS = _schema("id bigint, last_run_at timestamp")
+
+# Batches between two snapshots of the story rows.
+SNAPSHOT_EVERY = 32
+
+
+def article_id(url: Column) -> Column:
+    """60 bits of the SHA-256 of the address."""
+    return F.conv(F.substring(F.sha2(url, 256), 1, 15), 16, 10).cast("bigint")
 
 
 class PollCycle:
     """One tick: de-duplicate and store items, place them in stories, run alerts.
 
     State is the stored tables and their look-back windows, nothing else, so a
-    replayed batch finds the same state and overwrites its own output.
+    replayed batch finds the same state and overwrites its own output.  A batch that
+    was interrupted and is never replayed leaves articles without a story; later
+    batches place them, however old they are.
+
+    ``alerts`` is a table, or a function that reads the present one.
     """
 
     def __init__(
         self,
         spark: SparkSession,
         root: str,
-        alerts: DataFrame,
+        alerts: DataFrame | Callable[[], DataFrame],
         embed: Embedder = hash_embedding,
         dedup_hours: float = DEDUP_WINDOW_HOURS,
         hamming_threshold: int = HAMMING_THRESHOLD,
         cluster_hours: float | None = CLUSTER_WINDOW_HOURS,
         cluster_threshold: float = CLUSTER_THRESHOLD,
+        snapshot_every: int = SNAPSHOT_EVERY,
     ):
         self.store = Store(spark, root)
+        self.snapshot_every = snapshot_every
+        self.spark = spark
         self.alerts = alerts
         self.embed = embed
         self.dedup_hours = dedup_hours
@@ -98,55 +128,120 @@ class PollCycle:
     def matches(self, before: int | None = None) -> DataFrame:
         return self.store.read("matches", MATCHES, before)
 
-    def stories(self, as_of: datetime | str) -> DataFrame:
-        """Story rows of everything stored so far."""
-        assigned = self.assignments()
-        placed = self.articles().join(assigned.select("id", "story_id"), "id")
-        return recompute_stories(seed_stories(placed, assigned, as_of), placed, as_of)
+    def stories(self, before: int | None = None) -> DataFrame:
+        """Story rows, from stored sums; members are not read."""
+        return story_rows(self.story_state(before))
+
+    def story_state(self, before: int | None = None) -> DataFrame:
+        """Rows of batches whose articles were not placed to the end do not count."""
+        return self.store.latest("stories", STORIES, "id", before, counted="assignments")
+
+    def alert_table(self, before: int | None = None) -> DataFrame:
+        """The alerts with the time of their last run."""
+        alerts = self.alerts() if callable(self.alerts) else self.alerts
+        own = F.col("last_run_at").cast("timestamp") if "last_run_at" in alerts.columns else F.lit(None).cast("timestamp")
+        runs = self.store.read("alert_runs", ALERT_RUNS, before)
+        last = runs.groupBy("id").agg(F.max("last_run_at").alias("ran"))
+        return alerts.join(last, "id", "left").withColumn("last_run_at", F.coalesce("ran", own)).drop("ran")
+
+    def window(self, table: str, schema: T.StructType, now: str, hours: float | None, before: int) -> DataFrame:
+        """Rows of earlier batches fetched within the window; other batches are not opened."""
+        if hours is None:
+            return self.store.read(table, schema, before)
+        since = hours_before(now, hours, T.TimestampType())
+        batches = [r.batch for r in self.spans(before).filter(F.col("last") > since).select("batch").collect()]
+        return recent(self.store.read(table, schema, only=batches), now, hours)
+
+    def spans(self, before: int) -> DataFrame:
+        """One row per earlier batch; each batch writes them all anew, so one file is read."""
+        known = [n for n in self.store.finished("spans") if n < before]
+        return self.store.read("spans", SPANS, only=[max(known)] if known else [])
+
+    def unplaced(self, before: int) -> DataFrame:
+        """Ids of articles that earlier batches stored and no batch placed, of any age."""
+        started, ended = self.store.finished("pending"), self.store.finished("assignments")
+        open_batches = {n for n in started - ended if n < before}
+        if not open_batches:
+            return self.spark.createDataFrame([], PENDING)
+        # An open batch was placed, if at all, by a later one.
+        later = [n for n in ended if min(open_batches) < n < before]
+        done = self.store.read("assignments", ASSIGNMENTS, only=later).select("id")
+        return self.store.read("pending", PENDING, only=open_batches).distinct().join(done, "id", "left_anti")
 
     def run(self, items: DataFrame, batch_id: int) -> None:
         """Process one batch; its own latest fetch time is the present.
 
         Of the stored tables only key columns are read in full; everything else
-        is limited to this batch and the look-back windows.
+        is limited to this batch, the batches of the look-back windows and the
+        stories that are touched.
         """
         items = written(items.select(*ITEMS.fieldNames()), "poll-items")
-        now = items.agg(F.max("fetched_at").cast("string")).first()[0]
+        span = items.agg(F.min("fetched_at").alias("first"), F.max("fetched_at").alias("last"))
+        now = span.select(F.col("last").cast("string")).first()[0]
         if now is None:
             return
+        span = span.select(F.lit(batch_id).cast("bigint").alias("batch"), "first", "last")
+        self.store.write("spans", batch_id, self.spans(batch_id).unionByName(span).coalesce(1))
+        self.store_articles(items, batch_id, now)
+        self.place(batch_id, now)
+        self.match(batch_id, now)
 
+    def store_articles(self, items: DataFrame, batch_id: int, now: str) -> None:
         rows = written(article_rows(items), "poll-rows")
         decided = decide(rows, self.articles(batch_id), now, self.dedup_hours, self.hamming_threshold)
         accepted = decided.filter("accepted").withColumns(
-            {"id": F.xxhash64("canonical_url"), "embedding": F.lit(None).cast("array<float>")}
+            {"id": article_id(F.col("canonical_url")), "embedding": F.lit(None).cast("array<float>")}
         )
-        accepted = backfill_embeddings(accepted, self.embed)
-        self.store.write("articles", batch_id, accepted.select(*ARTICLES.fieldNames()))
+        accepted = written(accepted, "poll-accepted")
+        # Ids first: what is interrupted after this line is found by ``unplaced``.
+        self.store.write("pending", batch_id, accepted.select("id"))
+        embedded = backfill_embeddings(accepted, self.embed)
+        self.store.write("articles", batch_id, embedded.select(*ARTICLES.fieldNames()))
 
         # Reading back keeps the steps above out of the plans of the next ones.
         fresh = self.store.read("articles", ARTICLES, only=batch_id)
-        times = fresh.select(F.col("id").alias("article_id"), "fetched_at")
-        self.store.write("postings", batch_id, postings(fresh).join(times, "article_id"))
+        self.store.write("postings", batch_id, postings(fresh, "fetched_at"))
 
-        earlier, placed = self.articles(batch_id), self.assignments(batch_id)
-        if self.cluster_hours is not None:
-            earlier = recent(earlier, now, self.cluster_hours)
-            placed = recent(placed, now, self.cluster_hours)
+    def place(self, batch_id: int, now: str) -> None:
+        """Put new articles, and those an interrupted batch left behind, into stories."""
+        fresh = self.store.read("articles", ARTICLES, only=batch_id)
+        earlier = self.window("articles", ARTICLES, now, self.cluster_hours, batch_id)
+        placed = self.window("assignments", ASSIGNMENTS, now, self.cluster_hours, batch_id)
         in_play = earlier.unionByName(fresh).join(placed.select("id", "story_id"), "id", "left")
-        assigned = assign_stories(in_play, now, self.cluster_hours, self.cluster_threshold)
-        assigned = assigned.join(in_play.select("id", "fetched_at"), "id")
-        self.store.write("assignments", batch_id, assigned)
+        left = self.unplaced(batch_id)
+        if not left.isEmpty():
+            # Within the window they are in play anyway, and may have been placed since.
+            swept = lookup(self.articles(batch_id), left.select("id").distinct(), "id")
+            old = swept.join(in_play.select("id"), "id", "left_anti")
+            in_play = in_play.unionByName(old.withColumn("story_id", F.lit(None).cast("bigint")))
+        in_play = written(in_play.select("id", "story_id", "title", "published_at", "fetched_at", "embedding"), "poll-in-play")
+        assigned = written(assign_stories(in_play, now, self.cluster_hours, self.cluster_threshold), "poll-assigned")
+        members = assigned.join(in_play.drop("story_id").withColumn("at", effective_time()), "id")
+        self.store.write("stories", batch_id, touched_stories(self.story_state(batch_id), members, now))
+        self.store.write("assignments", batch_id, members.select(*ASSIGNMENTS.fieldNames()))
+        if (batch_id + 1) % self.snapshot_every == 0:
+            self.store.snapshot("stories", STORIES, "id", batch_id, counted="assignments")
 
-        index = self.store.read("postings", POSTINGS, before=batch_id + 1)
+    def match(self, batch_id: int, now: str) -> None:
+        """Run the alerts that are active now, and note when they ran."""
+        alerts = written(self.alert_table(batch_id), "poll-alerts")
+        index = self.window("postings", POSTINGS, now, self.dedup_hours, batch_id + 1)
         found = run_alerts(
-            self.alerts,
-            self.articles(batch_id + 1),
-            self.matches(batch_id),
+            alerts,
+            self.window("articles", ARTICLES, now, self.dedup_hours, batch_id + 1),
+            # An article of the window was matched no earlier than it was fetched.
+            self.recent_matches(now, batch_id),
             now,
             self.dedup_hours,
-            index=recent(index, now, self.dedup_hours).drop("fetched_at"),
+            index=index.drop("fetched_at"),
         )
         self.store.write("matches", batch_id, found)
+        stamped = stamp_runs(alerts, now).filter("active")
+        self.store.write("alert_runs", batch_id, stamped.select("id", "last_run_at"))
+
+    def recent_matches(self, now: str, before: int) -> DataFrame:
+        since = hours_before(now, self.dedup_hours, T.TimestampType())
+        return self.matches(before).filter(F.col("matched_at") > since)
 
     def start(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
         """Run the cycle on all available input; one query never overlaps itself."""

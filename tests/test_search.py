@@ -1,6 +1,8 @@
 """Search and alerts against a plain evaluation per article."""
 
+import random
 import re
+import time
 
 import pyarrow.parquet as pq
 import pytest
@@ -200,3 +202,42 @@ def test_empty_index(spark, articles, tmp_path):
     stored = store_index(se.postings(articles.limit(0)), str(tmp_path / "index"))
     assert stored.postings(["rate"]).count() == 0
     assert se.matches(stored, articles.limit(0), "rates").count() == 0
+
+
+def plain_headline(text, wanted, fragments=2, max_words=30, min_words=10):
+    pieces = re.split(r"\s+", text.strip(" "))
+    hits = [i for i, p in enumerate(pieces) if set(words(p)) & wanted]
+    if not hits:
+        return " ".join(pieces[:min_words])
+    begins = sorted({max(0, min(h - min_words // 2, len(pieces) - max_words)) for h in hits})
+    ranked = sorted((-sum(b <= h < b + max_words for h in hits), b) for b in begins)
+    chosen = []
+    for _, b in ranked:
+        if len(chosen) < fragments and all(abs(b - c) >= max_words for c in chosen):
+            chosen.append(b)
+    marked = [f"<mark>{p}</mark>" if i in set(hits) else p for i, p in enumerate(pieces)]
+    return " ... ".join(" ".join(marked[b : b + max_words]) for b in sorted(chosen))
+
+
+def test_headlines_equal_all_windows(spark):
+    draw = random.Random(4)
+    texts = [
+        " ".join(draw.choice(["rate", "Rates,", "x", "y", "bank-rates", "é"] + ["w"] * spread) for _ in range(size))
+        for spread in (0, 10, 60) for size in (0, 1, 9, 31, 62, 300)
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = dict(rows.select("id", se.headline(F.col("t"), ["rate"])).collect())
+    assert got == {i: plain_headline(t, {"rate"}) for i, t in enumerate(texts)}
+
+
+def test_headline_of_many_hits_is_linear(spark):
+    def seconds(size):
+        rows = spark.createDataFrame([(" ".join(["rate"] * size),)], "t string")
+        started = time.time()
+        (h,) = rows.select(se.headline(F.col("t"), ["rate"])).first()
+        assert h.count("<mark>") == 60
+        return time.time() - started
+
+    seconds(100)
+    # All pairs of hits would be 2.5 x 10^9 comparisons.
+    assert seconds(50_000) < 20
