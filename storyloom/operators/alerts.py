@@ -13,6 +13,7 @@ from storyloom.operators.search import postings, query_units
 from storyloom.settings import ALERT_WINDOW_HOURS
 from storyloom.tables import lookup, page_rows, written
 
+
 def add_alerts(alerts: DataFrame, new: DataFrame, as_of: datetime | str) -> DataFrame:
     """Append saved searches (id, name, query, optional channel and target)."""
     defaults = {
@@ -55,43 +56,48 @@ def alert_hits(index: DataFrame, articles: DataFrame, alerts: DataFrame) -> Data
 
     Each alternative of each alert is tried only on articles that hold its
     rarest required lexeme; the others are looked up for those candidates.  A
-    frequent word therefore never meets all alerts that mention it.
+    frequent word therefore never meets all alerts that mention it.  Alternatives
+    of negations only hold everywhere but where one of their clauses hits.
     """
     words = written(alert_lexemes(alerts), "alert-lexemes")
     used = lookup(index.select("lex", "article_id", "positions"), words.select("lex").distinct(), "lex")
     used = written(used, "alert-postings")
     frequency = used.groupBy("lex").agg(F.count("*").alias("df"))
-    required = words.join(frequency, "lex", "left").groupBy("alert_id", "conj").agg(
-        F.min(
-            F.when(~F.col("negated"), F.struct(F.coalesce("df", F.lit(0)).alias("df"), "lex"))
-        ).alias("rarest")
+    words = written(words.join(frequency, "lex", "left").fillna(0, ["df"]), "alert-words")
+    required = words.groupBy("alert_id", "conj").agg(
+        F.min(F.when(~F.col("negated"), F.struct("df", "lex"))).alias("rarest")
     )
-    # An alternative of negations only starts from every article.
-    by_word = (
+    tried = (
         required.filter("rarest.df > 0")
         .select("alert_id", "conj", F.col("rarest.lex").alias("lex"))
         .join(used.select("lex", "article_id"), "lex")
         .select("alert_id", "conj", "article_id")
+        .join(words.drop("df"), ["alert_id", "conj"])
     )
-    # Articles are dealt over parts, and each part meets these alternatives: no key
-    # holds all rows.
-    parts = max(2, int(articles.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = articles.select(
-        F.col("id").alias("article_id"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("deal")
-    )
-    by_negation = (
-        required.filter("rarest is null")
-        .select("alert_id", "conj", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("deal"))
-        .join(dealt, "deal")
-        .select("alert_id", "conj", "article_id")
+    found = (
+        _clauses(tried, used)
+        .select("alert_id", "conj", "article_id", (F.col("holds") != F.col("negated")).alias("ok"))
+        .groupBy("alert_id", "conj", "article_id")
+        .agg(F.min("ok").alias("ok"))
+        .filter("ok")
+        .select("alert_id", "article_id")
     )
-    tried = by_word.unionByName(by_negation).join(words, ["alert_id", "conj"])
+    # One row per saved search of that kind, a part of a small table.
+    negations = required.filter("rarest is null").select("alert_id", "conj").orderBy("alert_id", "conj").collect()
+    if negations:
+        found = found.unionByName(_without(negations, words, used, articles))
+    return found.distinct()
+
+
+def _clauses(tried: DataFrame, used: DataFrame) -> DataFrame:
+    """Whether each clause tried on an article holds there: all its lexemes point to one common start.
+
+    Both aggregations of the caller and this one use the one shuffle by alternative and article.
+    """
     looked_up = tried.join(used, ["article_id", "lex"], "left").select(
         "alert_id", "conj", "article_id", "clause", "negated", "width",
         F.transform("positions", lambda p: p - F.col("off")).alias("starts"),
     )
-    # A clause holds where all its lexemes point to one common start.  Both
-    # aggregations use the one shuffle by alternative and article.
     by_article = looked_up.repartition("alert_id", "conj", "article_id")
     clauses = by_article.groupBy("alert_id", "conj", "article_id", "clause", "negated", "width").agg(
         F.collect_list("starts").alias("starts")
@@ -100,13 +106,32 @@ def alert_hits(index: DataFrame, articles: DataFrame, alerts: DataFrame) -> Data
         F.slice("starts", F.lit(2), F.size("starts")), F.get("starts", F.lit(0)), lambda a, b: F.array_intersect(a, b)
     )
     holds = (F.size("starts") == F.col("width")) & (F.coalesce(F.size(common), F.lit(0)) > 0)
-    return (
-        clauses.select("alert_id", "conj", "article_id", (holds != F.col("negated")).alias("ok"))
-        .groupBy("alert_id", "conj", "article_id")
-        .agg(F.min("ok").alias("ok"))
-        .filter("ok")
-        .select("alert_id", "article_id")
-        .distinct()
+    return clauses.withColumn("holds", holds)
+
+
+def _without(negations: list, words: DataFrame, used: DataFrame, articles: DataFrame) -> DataFrame:
+    """Matches of alternatives of negations only: the complement of what their clauses hit.
+
+    The hits are found from the rarest lexeme of each clause and gathered per article;
+    each article then takes all these alternatives but those.  No article is tried
+    against an alternative, and the only join with all articles is over their ids.
+    """
+    name = F.concat_ws(":", "alert_id", "conj")
+    every = F.split(F.lit(",".join(f"{r.alert_id}:{r.conj}" for r in negations)), ",")
+    clause = ["alert_id", "conj", "clause"]
+    own = words.filter(F.array_contains(every, name))
+    rarest = own.groupBy(*clause).agg(F.min(F.struct("df", "lex")).alias("rarest")).filter("rarest.df > 0")
+    started = rarest.select(*clause, F.col("rarest.lex").alias("lex")).join(used.select("lex", "article_id"), "lex")
+    single = own.filter("width = 1").select(*clause)
+    alone = started.join(single, clause, "left_semi").select("alert_id", "conj", "article_id")
+    phrases = started.drop("lex").join(own.filter("width > 1").drop("df"), clause)
+    hit = _clauses(phrases, used).filter("holds").select("alert_id", "conj", "article_id").unionByName(alone)
+    blocked = hit.groupBy("article_id").agg(F.collect_set(name).alias("blocked"))
+    left = articles.select(F.col("id").alias("article_id")).join(blocked, "article_id", "left")
+    kept = F.array_except(every, F.coalesce("blocked", F.array().cast("array<string>")))
+    kind = words.schema["alert_id"].dataType
+    return left.select(F.explode(kept).alias("name"), "article_id").select(
+        F.split_part("name", F.lit(":"), F.lit(1)).cast(kind).alias("alert_id"), "article_id"
     )
 
 

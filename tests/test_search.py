@@ -109,6 +109,14 @@ def test_alerts_equal_single_searches(spark, articles):
     assert {(r.alert_id, r.article_id) for r in late.collect()} == {p for p in got if p[1] >= 5}
 
 
+def test_no_product_of_articles_and_alerts(spark, articles):
+    alerts = spark.createDataFrame([(1, "-rates", True), (2, "-cat -dog", True), (3, "rates", True)], "id long, query string, active boolean")
+    plan = al.alert_hits(se.postings(articles), articles, alerts)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    # Articles meet the hits of negations once, over their ids.
+    assert plan.count("array_except") >= 1
+
+
 def test_pages(articles, sources):
     index = se.postings(articles)
     every = [r.id for r in se.search(index, articles, sources, "rates OR city OR bank", limit=10).collect()]
