@@ -70,7 +70,7 @@ def ntz(name: str):
     FROM items WHERE ord % 10 NOT IN (3, 7, 9) AND ord % 20 NOT IN (1, 2, 14)""",
 )
 def s01(spark, folder):
-    bodies = fx.triaged(spark, folder).filter("outcome = 'fetched'").select("source_id", "seq", "body")
+    bodies = fx.triaged(spark, folder).filter("outcome = 'fetched'").select("source_id", "seq", "feed")
     return feeds.feed_items(bodies).select(
         "source_id", "seq", "guid", "url", "title", "author",
         fn.normalize_whitespace(F.col("content")).alias("content"), ntz("published_at"),

@@ -15,12 +15,10 @@ _RSS_ITEM = """
     author array<string>, `dc:creator` array<string>, description string, `content:encoded` string,
     pubDate string, `dc:date` string
 """
-_RSS = f"""
+# One schema for both kinds: a body is parsed once, and fields of the other kind stay null.
+_FEED = f"""
     channel struct<item: array<struct<{_RSS_ITEM}>>>,
     item array<struct<{_RSS_ITEM}>>,
-    _corrupt_record string
-"""
-_ATOM = """
     entry array<struct<
         title: string, id: string, published: string, updated: string,
         link: array<struct<_href: string, _rel: string>>,
@@ -34,29 +32,33 @@ _PARSING = {"columnNameOfCorruptRecord": "_corrupt_record"}
 _FEED_ROOT = r"(?i)<(rss|rdf:rdf|feed)[\s>]"
 
 
-def _is_atom(xml: Column) -> Column:
-    return xml.rlike(r"(?i)<feed[\s>]")
+def parsed(bodies: DataFrame, body: str = "body") -> DataFrame:
+    """Add ``feed``: the body parsed, whatever its kind; null for one that is no feed at all.
 
-
-def _is_broken(xml: Column) -> Column:
-    """Whether a body is no feed, or one that does not parse."""
-    atom = F.from_xml(xml, _ATOM, _PARSING)["_corrupt_record"]
-    rss = F.from_xml(xml, _RSS, _PARSING)["_corrupt_record"]
-    unsound = F.when(_is_atom(xml), atom).otherwise(rss).isNotNull()
-    return F.when(F.coalesce(xml, F.lit("")).rlike(_FEED_ROOT), unsound).otherwise(True)
+    Everything after reads this one column.  The explode of a single value keeps filters on
+    it from being moved below, where the body would be parsed again for each of them.
+    """
+    if "feed" in bodies.columns:
+        return bodies
+    xml = F.col(body)
+    is_feed = F.coalesce(xml, F.lit("")).rlike(_FEED_ROOT)
+    feed = F.when(is_feed, F.from_xml(xml, _FEED, _PARSING))
+    return bodies.select("*", F.explode(F.array(feed)).alias("feed"))
 
 
 def triage(fetches: DataFrame) -> DataFrame:
     """Name the outcome of each fetch: not_modified, error or fetched.
 
     A body that does not parse is an error of its source, so the validators that
-    came with it are not kept and the next poll fetches it again.
+    came with it are not kept and the next poll fetches it again.  The parsed body is
+    kept as ``feed`` for ``feed_items``.
     """
-    status, body = F.col("status"), F.col("body")
+    fetches, status = parsed(fetches), F.col("status")
+    broken = F.col("feed").isNull() | F.col("feed._corrupt_record").isNotNull()
     error = F.when(
         status >= 400,
         F.concat(F.lit("HTTP "), status.cast("string"), F.lit(" fetching "), F.col("feed_url")),
-    ).when((status != 304) & _is_broken(body), "not a feed")
+    ).when((status != 304) & broken, "not a feed")
     return fetches.withColumn("error", error).withColumn(
         "outcome",
         F.when(status == 304, "not_modified").when(F.col("error").isNotNull(), "error").otherwise("fetched"),
@@ -67,14 +69,12 @@ def feed_items(bodies: DataFrame, body: str = "body") -> DataFrame:
     """One row per item of every RSS or Atom body; items without a link or guid go.
 
     All columns of ``bodies`` but the body are kept.  ``position`` is the place
-    of the item in its feed.
+    of the item in its feed.  A ``feed`` column, as triage leaves it, is not parsed again.
     """
-    kept = [c for c in bodies.columns if c != body]
-    xml = F.col(body)
-    items = F.when(_is_atom(xml), _atom_items(F.from_xml(xml, _ATOM, _PARSING))).otherwise(
-        _rss_items(F.from_xml(xml, _RSS, _PARSING))
-    )
-    rows = bodies.select(*kept, F.posexplode(items).alias("position", "item"))
+    kept = [c for c in bodies.columns if c not in (body, "feed")]
+    feed = F.col("feed")
+    items = F.coalesce(_atom_items(feed), _rss_items(feed))
+    rows = parsed(bodies, body).select(*kept, F.posexplode(items).alias("position", "item"))
     item = F.col("item")
     return (
         rows.withColumn("url", trim_space(F.coalesce(item["link"], item["guid"], F.lit(""))))

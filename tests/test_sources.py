@@ -50,6 +50,15 @@ def test_feed_items(spark):
     ]
 
 
+def test_a_body_is_parsed_once(spark):
+    triaged = fetches(spark)
+    items = feeds.feed_items(triaged.filter("outcome = 'fetched'").select("source_id", "feed"))
+    raw = feeds.feed_items(fetches(spark).filter("outcome = 'fetched'").select("source_id", "body"))
+    for plan in (items, triaged.select("outcome", "error")):
+        assert plan._jdf.queryExecution().optimizedPlan().toString().count("from_xml") == 1
+    assert items.collect() == raw.collect()
+
+
 def test_triage_and_stats(spark):
     rows = fetches(spark)
     got = {(r.source_id, r.seq): (r.outcome, r.error) for r in rows.collect()}
