@@ -14,6 +14,7 @@ import json
 import re
 import sys
 import unicodedata
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -29,9 +30,10 @@ from storyloom.llm.common import table
 # Longer words keep their ranks in a heap: scanning is quadratic.
 SHORT_WORD = 128
 # Distinct pieces of text whose ids a worker remembers; beyond, it starts anew.
-CACHED_PIECES = 400_000
-# Characters of text that are cut and merged together.
+CACHED_PIECES = 300_000
+# Bytes of text that are cut and merged together, and tokens that are decoded together.
 BATCH_CHARS = 1_000_000
+BATCH_TOKENS = 500_000
 # White space that no piece can hold tells special tokens from text that looks like one.
 MARK = "\u3000"
 NEVER = np.iinfo(np.int64).max
@@ -67,6 +69,17 @@ def _packed(ids: list[int]) -> bytes:
     return np.array(ids, np.int32).tobytes()
 
 
+def slices(sizes: np.ndarray, most: int) -> list[slice]:
+    """Runs of rows of at most about ``most`` in all; a larger row is one of its own."""
+    cuts, held = [0], 0
+    for row, size in enumerate(sizes.tolist()):
+        if held and held + size > most:
+            cuts.append(row)
+            held = 0
+        held += size
+    return [slice(a, b) for a, b in zip(cuts, [*cuts[1:], len(sizes)]) if a < b]
+
+
 class Codec:
     """Vocabulary, merges and word cutting; lives once in each Python worker."""
 
@@ -205,21 +218,28 @@ class Codec:
             return self.gaps.sub(" ", lower).strip(" ")
         return " ".join(lower.split())
 
-    def encode(self, texts: list[str]) -> pa.ListArray:
-        batches, start = [], 0
-        # Millions of small tuples, none in a cycle: walking them is all a collection would do.
+    def encode(self, texts: pa.Array) -> pa.ListArray:
+        """Ids of each text; only one slice of the texts is held as Python strings at a time."""
+        # Millions of small strings, none in a cycle: walking them is all a collection would do.
         gc.disable()
         try:
-            while start < len(texts):
-                end, chars = start, 0
-                while end < len(texts) and (end == start or chars < BATCH_CHARS):
-                    chars += len(texts[end])
-                    end += 1
-                batches.append(self.encode_batch(texts[start:end]))
-                start = end
+            made = [
+                self.encode_batch(texts[part].to_pylist())
+                for part in slices(pc.binary_length(texts).to_numpy(zero_copy_only=False), BATCH_CHARS)
+            ]
         finally:
             gc.enable()
-        return pa.concat_arrays(batches) if batches else pa.array([], pa.list_(pa.int32()))
+        return pa.concat_arrays(made) if made else pa.array([], pa.list_(pa.int32()))
+
+    def decode(self, lists: pa.Array) -> pa.StringArray:
+        """Tokens of each list, joined by spaces; the tokens of one slice are held at a time."""
+        lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        made = []
+        for part in slices(lengths, BATCH_TOKENS):
+            ends = pa.array(np.cumsum([0, *lengths[part]], dtype=np.int32))
+            tokens = self.names.take(pc.list_flatten(lists[part]))
+            made.append(pc.binary_join(pa.ListArray.from_arrays(ends, tokens), " "))
+        return pa.concat_arrays(made) if made else pa.array([], pa.string())
 
     def encode_batch(self, texts: list[str]) -> pa.ListArray:
         """Look each distinct piece up once, then lay its ids down wherever it occurs."""
@@ -260,20 +280,15 @@ class Bpe:
         with open(path, encoding="utf-8") as file:
             spec = file.read()
         key = hashlib.sha256(spec.encode()).hexdigest()
-        shared = spark.sparkContext.broadcast((key, spec))
+        self.shared = shared = spark.sparkContext.broadcast((key, spec))
 
         @F.arrow_udf(T.ArrayType(T.IntegerType(), False))
         def encode(texts: pa.Array) -> pa.Array:
-            codec = _codec(shared)
-            return codec.encode(texts.fill_null("").to_pylist())
+            return _codec(shared).encode(texts.fill_null(""))
 
         @F.arrow_udf(T.StringType())
         def decode(lists: pa.Array) -> pa.Array:
-            codec = _codec(shared)
-            lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-            ends = pa.array(np.cumsum([0, *lengths], dtype=np.int32))
-            tokens = codec.names.take(pc.list_flatten(lists))
-            return pc.binary_join(pa.ListArray.from_arrays(ends, tokens), " ")
+            return _codec(shared).decode(lists)
 
         self._encode, self._decode = encode, decode
 
@@ -293,10 +308,25 @@ def default_vocabulary() -> str:
 
 
 def encode_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """doc_id, ids, decoded of every row of ``docs``."""
-    bpe = Bpe(docs.sparkSession, vocabulary or default_vocabulary())
-    coded = docs.select("doc_id", bpe.encode(F.col("text")).alias("ids"))
-    return coded.select("doc_id", "ids", bpe.decode(F.col("ids")).alias("decoded"))
+    """doc_id, ids, decoded of every row of ``docs``, repeated rows and null ids too.
+
+    A null or empty text has no ids and decodes to ''; an empty table gives an empty
+    result; no other column is read.  A task sends results on slice by slice, so what it
+    holds is bounded by a batch of texts and the results of one slice.
+    """
+    shared = Bpe(docs.sparkSession, vocabulary or default_vocabulary()).shared
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(shared)
+        for batch in batches:
+            texts = batch.column(1).fill_null("")
+            for part in slices(pc.binary_length(texts).to_numpy(zero_copy_only=False), BATCH_CHARS):
+                ids = codec.encode(texts[part])
+                columns = [batch.column(0)[part], ids, codec.decode(ids)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(coded, f"doc_id {kind}, ids array<int>, decoded string")
 
 
 def digests(coded: DataFrame) -> DataFrame:
@@ -309,4 +339,5 @@ def digests(coded: DataFrame) -> DataFrame:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens and digests of every whole text; see ``encode_documents``."""
     return digests(encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text")))
