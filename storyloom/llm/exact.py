@@ -89,6 +89,7 @@ def exact_dedup(docs: DataFrame, **options) -> DataFrame:
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group, size and verdict of every row of ``documents``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_groups(docs).drop("row")
 

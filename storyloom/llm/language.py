@@ -491,4 +491,5 @@ def scores(docs: DataFrame) -> DataFrame:
 
 
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and base score of every whole text of ``documents``."""
     return scores(table(spark, sf_dir, "documents").select("doc_id", "text"))

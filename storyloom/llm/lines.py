@@ -181,6 +181,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every whole text that repeat, or nearly repeat, an earlier one; see the operator above."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     text = F.coalesce("text", F.lit(""))
     found = line_dedup(docs).select("row.doc_id", "n_lines", "n_dropped", F.sha2(text, 256).alias("text_sha256"))

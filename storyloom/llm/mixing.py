@@ -136,6 +136,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every row of ``documents``, and its source's target."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     rows = written(units(docs), "mix-units")
     targets = source_targets(rows)

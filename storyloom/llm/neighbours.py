@@ -225,5 +225,6 @@ def nearest(
 
 
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every query of ``embeddings``."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return nearest(rows, F.col("vec_id") % EVERY == 0)

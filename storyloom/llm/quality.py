@@ -250,4 +250,5 @@ def quality(docs: DataFrame, labels: DataFrame, held_folds: int = HELD_FOLDS, cu
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out flag, score and prediction of every row of ``documents``."""
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

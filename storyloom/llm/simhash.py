@@ -245,6 +245,7 @@ def near_dedup(docs: DataFrame, **options) -> DataFrame:
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every row of ``documents``."""
     found = near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
     digits = F.lpad(F.lower(F.hex("fingerprint")), 16, "0")
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")

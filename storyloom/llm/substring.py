@@ -119,5 +119,6 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
 
 
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text of ``documents`` without spans that repeat earlier ones."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring_dedup(docs).select("row.doc_id", "sentences", "removed", "sources", "text")

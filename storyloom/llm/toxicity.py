@@ -234,4 +234,5 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability and verdict of every row of ``documents``, by a chain fitted to ``labels``."""
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -5,6 +5,7 @@ import zlib
 from storyloom.llm import language
 from storyloom.llm.language import HELD, HELD_FOLDS, MIX_FOLD, Model
 from storyloom.llm.language import vocabulary
+from storyloom.tables import written
 
 
 def test_rows_that_fit_weights_also_teach_contexts(spark):
@@ -14,7 +15,7 @@ def test_rows_that_fit_weights_also_teach_contexts(spark):
         if part != HELD:
             texts.append(("only here stands this" if part == MIX_FOLD else "plain words go elsewhere", part))
     docs = spark.createDataFrame(texts, "text string, part int")
-    model = Model(spark, docs, vocabulary(docs).localCheckpoint())
+    model = Model(spark, docs, written(vocabulary(docs), "vocabulary"))
     code = model.code
     for text in ("only here stands this", "plain words go elsewhere"):
         symbols, first, _ = language.flat_symbols(code, [language.words_of(text)])
