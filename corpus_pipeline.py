@@ -54,6 +54,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``: tokens and digests of each document of the mix.
+
+    Nulls, repeated rows, ties and empty tables are treated as the stages' operators say;
+    an empty table passes through all stages and gives an empty result.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
