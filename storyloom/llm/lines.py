@@ -58,7 +58,7 @@ def shared(states: DataFrame) -> DataFrame:
 
 
 def variants(states: DataFrame) -> DataFrame:
-    """Hashed keys of all windows within one deletion.
+    """Hashed keys of all windows ``n`` within one deletion; neither line nor window goes along.
 
     ``key`` with ``role``: two windows with the same place deleted to the same
     rest are one substitution apart (role 0); a window (role 1) that another
@@ -79,7 +79,7 @@ def variants(states: DataFrame) -> DataFrame:
     whole = F.struct(F.xxhash64("context", F.lit("less"), "window").alias("key"), F.lit(1).alias("role"))
     places = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
     each = F.explode(F.concat(F.array(whole), F.flatten(F.transform(places, keys)))).alias("variant")
-    return states.select(*LINE, "first", "window", each).select(*LINE, "first", "window", "variant.*")
+    return states.select("n", each).select("n", "variant.*")
 
 
 def near_lines(distinct: DataFrame, docs: DataFrame) -> DataFrame:
@@ -121,15 +121,22 @@ def near_lines(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     windows = short[0]
     for more in short[1:]:
         windows = windows.unionByName(more)
+    # Numbers rise with the first place of the line, so the least number is the earliest line.
+    ordered = windows.repartitionByRange("first").sortWithinPartitions("first")
+    windows = written(ordered.withColumn("n", F.monotonically_increasing_id()), "line-numbered")
     rows = written(variants(windows), "line-variants")
-    earliest = rows.groupBy("key").agg(
-        *(F.min(F.when(F.col("role") == r, F.struct("first", "window"))).alias(f"least{r}") for r in (0, 1, 2))
-    )
-    met = lookup(rows, earliest, "key", "inner")
+    least = [F.min(F.when(F.col("role") == r, F.col("n"))).alias(f"least{r}") for r in (0, 1, 2)]
+    alike = F.count_if(F.col("role") == 0).alias("alike")
+    # Most keys belong to one window; only the others are looked up.
+    earliest = rows.groupBy("key").agg(*least, alike).filter("alike > 1 or (least1 is not null and least2 is not null)")
+    met = lookup(rows, earliest.drop("alike"), "key", "inner")
     other = F.when(F.col("role") == 0, F.col("least0")).when(F.col("role") == 1, F.col("least2"))
-    met = met.withColumn("other", other.otherwise(F.col("least1")))
-    near = F.levenshtein(F.col("window"), F.col("other.window"), 1) >= 0
-    return met.filter((F.col("other.first") < F.col("first")) & near).select(*LINE).distinct()
+    met = met.select("n", other.otherwise(F.col("least1")).alias("other")).filter("other < n").distinct()
+    mine = windows.select("n", *LINE, "first", "window")
+    theirs = windows.select(F.col("n").alias("other"), F.col("first").alias("other_first"), F.col("window").alias("other_window"))
+    found = written(met, "line-met").join(mine, "n").join(theirs, "other")
+    near = F.levenshtein(F.col("window"), F.col("other_window"), 1) >= 0
+    return found.filter((F.col("other_first") < F.col("first")) & near).select(*LINE).distinct()
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
