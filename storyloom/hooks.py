@@ -8,13 +8,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from storyloom.functions.dates import effective_time
 from storyloom.plans.views import lead_summaries
-from storyloom.tables import written
+from storyloom.tables import placed_within, written
 
 FACTS = T.StructType(
     [
@@ -75,13 +75,13 @@ def summarize_in_parts(
 
     ``partial`` turns a run of articles, oldest first, into a text, and
     ``combine`` texts of successive runs into one.  Every article is read, in
-    order, and no group holds more than ``part_rows`` of them.
+    order, and no group holds more than ``part_rows`` of them; the order itself is
+    found over ranges, so no task sees the members of a large story whole.
     """
-    order = Window.partitionBy("story_id").orderBy("at", "id")
     rows = _members(articles)
     kind = articles.schema["story_id"].dataType.simpleString()
     # Ranked on narrow columns; the texts meet their part by id.
-    places = rows.select("story_id", "at", "id").withColumn("place", F.row_number().over(order) - 1)
+    places = placed_within(rows.select("story_id", "at", "id"), "story_id", ["at", "id"])
     places = written(places.select("id", "place"), "summary-places")
     runs = rows.join(places, "id").withColumn("part", F.floor(F.col("place") / part_rows))
 

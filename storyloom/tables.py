@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -73,6 +73,29 @@ def page_rows(table: DataFrame, page: DataFrame) -> DataFrame:
     return found.join(F.broadcast(local), "id")
 
 
+def placed_within(rows: DataFrame, key: str, order: list[str], name: str = "place") -> DataFrame:
+    """Add ``name``: how many rows of the same key come before, in a total order within it.
+
+    Rows are range-sorted by key and order, so a crowded key lies over many ranges.  Each
+    range numbers its own rows; what earlier ranges hold of a key comes from one count per
+    key and range.  No task sees more of a key than one range.
+    """
+    ranges = rows.repartitionByRange(key, *order)
+    ranges = written(ranges.withColumn("_range", F.spark_partition_id()), "ranges")
+    held = ranges.groupBy(key, "_range").agg(F.count("*").alias("_rows"))
+    # As many rows per key as ranges hold it.
+    before = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = held.select(key, "_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    starts = written(starts.filter("_start > 0").toDF("_key", "_of", "_start"), "range-starts")
+    within = Window.partitionBy("_range", key).orderBy(*order)
+    numbered = ranges.withColumn("_own", F.row_number().over(within) - 1)
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_of"))
+    joined = numbered.join(starts, same, "left")
+    return joined.withColumn(name, F.col("_own") + F.coalesce("_start", F.lit(0))).drop(
+        "_range", "_own", "_key", "_of", "_start"
+    )
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows out to all cores when the input has fewer splits than cores.
 

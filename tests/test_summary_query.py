@@ -1,7 +1,10 @@
 """The summary query holds no story whole."""
 
+from pyspark.sql import functions as F
+
 from storyloom import hooks
 from storyloom.plans.queries import QUERIES
+from storyloom.tables import placed_within
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -19,3 +22,27 @@ def test_summary_query_reads_stories_in_parts(spark, monkeypatch):
     assert len(used) == 1
     wanted = whole(used[0], lambda pairs: "; ".join(title[:10] for title, _ in pairs))
     assert got == {r.story_id: r.summary for r in wanted.collect()} and got
+
+
+def test_places_of_a_crowded_key_are_found_over_ranges(spark):
+    rows = spark.range(2_000).selectExpr(
+        "if(id % 3 = 0, 7, if(id % 50 = 1, null, id % 40)) as story_id", "(id * 37) % 500 as at", "id"
+    )
+    # Nine ranges, as small as the table is.
+    settings = {"spark.sql.shuffle.partitions": "9", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    earlier = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        found = placed_within(rows, "story_id", ["at", "id"])
+        got = {r.id: (r.story_id, r.place) for r in found.collect()}
+        # Of the key with a third of all rows, no range holds more than a share.
+        ranges = rows.repartitionByRange("story_id", "at", "id").withColumn("r", F.spark_partition_id())
+        assert ranges.filter("story_id = 7").select("r").distinct().count() >= 3
+    finally:
+        for name, value in earlier.items():
+            spark.conf.set(name, value)
+    members = {}
+    for r in rows.collect():
+        members.setdefault(r.story_id, []).append((r.at, r.id))
+    assert got == {i: (s, n) for s, m in members.items() for n, (_, i) in enumerate(sorted(m))}
