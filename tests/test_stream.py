@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from storyloom.plans.queries import QUERIES
 from storyloom.sources.store import Store
 from storyloom.streaming import poll
 
@@ -181,3 +182,14 @@ def test_prefilter_drops_repeats(spark, tmp_path):
     )
     query.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 15
+
+
+def test_prefilter_reads_tables_of_one_file_and_of_many(spark, tmp_path):
+    rows = spark.createDataFrame([(n, f"text {n % 7}", "src1") for n in range(40)], "doc_id bigint, text string, source string")
+    rows.repartition(3).write.parquet(str(tmp_path / "many" / "documents.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "whole"))
+    (file,) = (tmp_path / "whole").glob("part-*.parquet")
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "documents.parquet").write_bytes(file.read_bytes())
+    for folder in ("many", "one"):
+        assert QUERIES["r03_streaming_prefilter"](spark, str(tmp_path / folder)).count() == 7
