@@ -190,3 +190,34 @@ def test_skewed_joins_are_split(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_acceptance_in_steps_equals_sequential(spark, seed):
+    rows = random_rows(random.Random(seed), 90)
+    fresh = dedup.written(frame(spark, rows), "test-fresh")
+    got = sorted(r.ord for r in dedup._accept_in_steps(fresh, 3, step_rows=10).collect())
+    assert len(dedup._step_bounds(fresh, 10)) >= 2
+    assert got == sequential(rows, [], as_of_hour=200)
+
+
+def test_crowded_near_values_do_not_form_all_pairs(spark, monkeypatch):
+    """All values lie near the first: later steps drop them without a pair."""
+    formed, plain = [], dedup.near_pairs
+
+    def watched(values, known=None, *args, **options):
+        pairs = plain(values, known, *args, **options)
+        if known is None:
+            formed.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(dedup, "near_pairs", watched)
+    rows = spark.range(65).select(
+        F.col("id").alias("ord"), F.lit(1).alias("source_id"), F.lit(None).cast("string").alias("guid"),
+        F.col("id").cast("string").alias("canonical_url"), F.col("id").cast("string").alias("content_hash"),
+        F.expr("if(id = 0, 0L, shiftleft(1L, cast(id - 1 as int)))").alias("simhash"),
+        F.lit("2024-01-01").cast("timestamp_ntz").alias("fetched_at"),
+    )
+    won = dedup._accept_in_steps(dedup.written(rows, "test-fresh"), 3, step_rows=8)
+    assert [r.ord for r in won.collect()] == [0]
+    assert sum(formed) < 65 * 64 / 2 / 8
