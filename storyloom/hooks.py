@@ -7,7 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +29,9 @@ FACTS = T.StructType(
     ]
 )
 
+# Rows and bytes of text that a summary task turns into Python values at a time.
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
+
 FactBatches = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 
@@ -41,6 +47,22 @@ def extract_facts(articles: DataFrame, extractor: FactBatches | None = None) ->
     return texts.mapInPandas(extractor, FACTS)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a stream of batches, a few and little text at a time."""
+    for batch in batches:
+        sizes = np.zeros(len(batch), np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type):
+                sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        ends, start = np.cumsum(sizes), 0
+        while start < len(ends):
+            held = ends[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, held + BATCH_BYTES, side="right")))
+            end = min(end, start + BATCH_ROWS)
+            yield batch.slice(start, end - start)
+            start = end
+
+
 Pairs = list[tuple[str, str]]
 
 
@@ -85,25 +107,52 @@ def summarize_in_parts(
     places = written(places.select("id", "place"), "summary-places")
     runs = rows.join(places, "id").withColumn("part", F.floor(F.col("place") / part_rows))
 
-    def first(run: pd.DataFrame) -> pd.DataFrame:
-        run = run.sort_values("place")
-        text = partial(list(zip(run["title"], run["content"], strict=True)))
-        return run.iloc[:1][["story_id", "part"]].assign(text=text)
+    schema = f"story_id {kind}, part bigint, text string"
 
-    def more(run: pd.DataFrame) -> pd.DataFrame:
-        run = run.sort_values("part")
-        return run.iloc[:1][["story_id"]].assign(part=run["next"].iloc[0], text=combine(list(run["text"])))
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _runs(batches, partial)
 
-    schema = f"story_id {kind}, part bigint, text string"
-    # Repartitioned first: a story's rows arrive from the join together.
-    texts = runs.repartition("story_id", "part").groupBy("story_id", "part").applyInPandas(first, schema)
-    texts = written(texts, "summary-parts")
+    def more(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _runs(batches, lambda texts: combine([text for (text,) in texts]))
+
+    # Rows of a run follow each other in a task, which holds one run at a time.
+    runs = runs.repartition("story_id", "part").sortWithinPartitions("story_id", "part", "place")
+    texts = written(runs.select("story_id", "part", "title", "content").mapInArrow(first, schema), "summary-parts")
     while not texts.filter("part > 0").isEmpty():
-        level = texts.withColumn("next", F.floor(F.col("part") / part_rows))
-        texts = written(level.groupBy("story_id", "next").applyInPandas(more, schema), "summary-parts")
+        level = texts.withColumn("next", F.floor(F.col("part") / part_rows)).repartition("story_id", "next")
+        level = level.sortWithinPartitions("story_id", "next", "part").select("story_id", "next", "text")
+        texts = written(level.mapInArrow(more, schema), "summary-parts")
     return texts.select("story_id", F.col("text").alias("summary"))
 
 
+def _runs(batches: Iterator[pa.RecordBatch], text: Callable[[list[tuple]], str]) -> Iterator[pa.RecordBatch]:
+    """One row (story_id, part, text) per run of rows with equal first two columns.
+
+    ``text`` sees the other columns of the run; a run may cross batches.
+    """
+    key, held, done, kind = None, [], [], None
+
+    def packed() -> pa.RecordBatch:
+        stories, parts, texts = zip(*done)
+        columns = [pa.array(stories, kind), pa.array(parts, pa.int64()), pa.array(texts, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, names=["story_id", "part", "text"])
+
+    for frame in _slices(batches):
+        kind = frame.schema.field(0).type
+        for story, part, *rest in zip(*(column.to_pylist() for column in frame.columns)):
+            if (story, part) != key:
+                if held:
+                    done.append((*key, text(held)))
+                key, held = (story, part), []
+            held.append(tuple(rest))
+        if done:
+            yield packed()
+            done.clear()
+    if held:
+        done.append((*key, text(held)))
+        yield packed()
+
+
 def _members(articles: DataFrame) -> DataFrame:
     return articles.filter("story_id is not null").select(
         "story_id", effective_time().alias("at"), "id", "title", "content"

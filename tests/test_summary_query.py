@@ -46,3 +46,37 @@ def test_places_of_a_crowded_key_are_found_over_ranges(spark):
     for r in rows.collect():
         members.setdefault(r.story_id, []).append((r.at, r.id))
     assert got == {i: (s, n) for s, m in members.items() for n, (_, i) in enumerate(sorted(m))}
+
+
+def test_runs_of_a_story_cross_batches(spark):
+    """Small Arrow batches, stories of one article to many, an order found by time then id."""
+    rows = spark.range(300).selectExpr(
+        "if(id % 2 = 0, 1, id % 40) as story_id", "id", "concat('t', id) as title", "'c' as content",
+        "cast(null as timestamp) as published_at", "timestamp_seconds((id * 37) % 100) as fetched_at",
+    )
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "7")
+    try:
+        found = hooks.summarize_in_parts(rows, lambda pairs: ";".join(t for t, _ in pairs), ";".join, part_rows=5)
+        got = {r.story_id: r.summary for r in found.collect()}
+    finally:
+        spark.conf.set(name, before)
+    wanted = hooks.summarize_stories(rows, lambda pairs: ";".join(t for t, _ in pairs))
+    assert got == {r.story_id: r.summary for r in wanted.collect()}
+
+
+def test_summaries_call_the_hook_without_a_group_per_story(spark):
+    """A group costs milliseconds of Python each, so runs are cut inside a task's batches."""
+    rows = spark.range(20).selectExpr(
+        "id % 9 as story_id", "id", "'t' as title", "'c' as content",
+        "cast(null as timestamp) as published_at", "timestamp_seconds(id) as fetched_at",
+    )
+    seen = []
+    whole = hooks.written
+    try:
+        hooks.written = lambda df, name: seen.append(df._jdf.queryExecution().toString()) or whole(df, name)
+        hooks.summarize_in_parts(rows, lambda pairs: "x", "".join).collect()
+    finally:
+        hooks.written = whole
+    assert seen and not any("FlatMapGroupsInPandas" in plan for plan in seen)
