@@ -6,8 +6,10 @@ from datetime import datetime
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from storyloom.functions import hashing
 from storyloom import functions as fn
 from storyloom.operators.embed import cosine_similarity, embedder, hash_embedding
 
@@ -248,3 +250,17 @@ def test_word_lists():
     for words in (EMBEDDING_STOPWORDS, SEARCH_STOPWORDS):
         assert len(set(words)) == len(words)
         assert all(re.fullmatch("[a-z]+", w) for w in words)
+
+
+def test_kernels_do_not_depend_on_slices(spark, monkeypatch):
+    lists = [["alpha", "beta"] * n for n in (0, 1, 3, 40)] + [None, ["gamma"], [], ["alpha"] * 500]
+    tokens = pa.array(lists, pa.list_(pa.string()))
+    whole = hashing._simhash_slice(tokens).to_pylist()
+    worked = []
+    plain = hashing._simhash_slice
+    monkeypatch.setattr(hashing, "_simhash_slice", lambda part: worked.append(len(part)) or plain(part))
+    monkeypatch.setattr(hashing.list_slices, "__defaults__", (100, 3))
+    parts = hashing.list_slices(tokens)
+    assert [x for p in parts for x in p.to_pylist()] == lists and len(parts) > 2
+    assert all(len(p) == 1 or (len(p) <= 3 and sum(len(x or []) for x in p.to_pylist()) <= 100) for p in parts)
+    assert hashing.simhash_tokens.func(tokens).to_pylist() == whole and len(worked) == len(parts)
