@@ -139,12 +139,17 @@ def spelled_bits(words: list[bytes]):
 class Mixer:
     """Tables of counts as log odds, gated weights, and a refinement of the result."""
 
-    def __init__(self, counts: np.ndarray):
-        """``counts`` per predictor, slot and bit."""
-        seen = counts.sum(axis=2)
-        odds = np.log((counts[:, :, 1] + 0.4) / (counts[:, :, 0] + 0.4))
-        self.odds = np.round(np.clip(odds, -12, 12) * 2_000).astype(np.int16)
-        self.trust = np.minimum(np.ceil(np.log2(seen + 1)), CONFIDENCES - 1).astype(np.uint8)
+    def __init__(self, counts: np.ndarray, more: np.ndarray | None = None):
+        """``counts`` per predictor, slot and bit, plus ``more`` of them; wide one predictor at a time."""
+        self.odds = np.empty(counts.shape[:2], np.int16)
+        self.trust = np.empty(counts.shape[:2], np.uint8)
+        for k in range(len(counts)):
+            own = counts[k].astype(np.int64)
+            if more is not None:
+                own += more[k]
+            odds = np.log((own[:, 1] + 0.4) / (own[:, 0] + 0.4))
+            self.odds[k] = np.round(np.clip(odds, -12, 12) * 2_000).astype(np.int16)
+            self.trust[k] = np.minimum(np.ceil(np.log2(own.sum(axis=1) + 1)), CONFIDENCES - 1).astype(np.uint8)
         self.weights = np.full((16, PREDICTORS, CONFIDENCES), 0.3, np.float64)
         self.weights[:, :, 0] = 0.0
         self.refined = np.tile(sigmoid(self.centres()), (16, 1))
@@ -155,9 +160,9 @@ class Mixer:
         self.weights = weights.reshape(self.weights.shape).copy()
         self.refined = refined.reshape(self.refined.shape).copy()
 
-    def with_counts(self, counts: np.ndarray) -> Mixer:
+    def with_counts(self, counts: np.ndarray, more: np.ndarray | None = None) -> Mixer:
         """The same weights and refinement over other tables."""
-        mixer = Mixer(counts)
+        mixer = Mixer(counts, more)
         mixer.weights, mixer.refined = self.weights, self.refined
         return mixer
 
@@ -339,6 +344,8 @@ class Model:
         counts = [r["n"] for r in coded]
         self.escapes = self.total - sum(counts)
         self.code = Code([bytes(r["word"]) for r in coded], counts, self.escapes + once)
+        # The driver keeps nothing that it is done with.
+        del coded, counts, kinds
         # Good and Turing: words seen once stand for words not seen.
         self.seen = min(self.escapes / max(self.escapes + once, 1), 0.999)
         code = spark.sparkContext.broadcast(self.code)
@@ -359,8 +366,8 @@ class Model:
         # Every different word teaches spelling, so that small inputs do as well.
         tail = vocab.filter(F.length("word") > 0).select("word")
         kept = F.pmod(F.crc32("word"), F.lit(8)) == 0
-        tables = summed(word_bits, docs.filter(F.col("part") != MIX_FOLD).select("text")).astype(np.int64)
-        spelled = summed(tail_bits, tail.filter(~kept)).astype(np.int64)
+        tables = summed(word_bits, docs.filter(F.col("part") != MIX_FOLD).select("text"))
+        spelled = summed(tail_bits, tail.filter(~kept))
         words, letters = (spark.sparkContext.broadcast(Mixer(t)) for t in (tables, spelled))
 
         def fit_words(mixer, batches):
@@ -387,8 +394,11 @@ class Model:
         fit(words, sample, fit_words)
         fit(letters, spellings, fit_letters)
         # With the weights known, the rows that fitted them teach contexts as well.
-        self.words = words.value.with_counts(tables + summed(word_bits, sample))
-        self.letters = letters.value.with_counts(spelled + summed(tail_bits, spellings))
+        self.words = words.value.with_counts(tables, summed(word_bits, sample))
+        del tables
+        self.letters = letters.value.with_counts(spelled, summed(tail_bits, spellings))
+        for done in (code, words, letters):
+            done.destroy()
 
     def spell(self, words: list[bytes]) -> np.ndarray:
         """log10 probability of each word by its letters."""

@@ -272,3 +272,10 @@ def test_pipeline_stages(spark):
 def test_every_operator_is_registered():
     numbers = sorted(int(name[2:].split("_")[0]) for name in QUERIES)
     assert numbers == list(range(1, 14)) and set(ORACLES) <= set(QUERIES)
+
+
+def test_mixer_adds_tables_up_by_predictor():
+    rng = np.random.default_rng(5)
+    one, more = (rng.integers(0, 1 << 30, (4, 64, 2)).astype(np.int32) for _ in range(2))
+    whole, by_parts = Mixer(one.astype(np.int64) + more), Mixer(one, more)
+    assert (whole.odds == by_parts.odds).all() and (whole.trust == by_parts.trust).all()
