@@ -6,12 +6,13 @@ after an escape.  Every bit is predicted from counts in several hashed contexts.
 
 from __future__ import annotations
 
-import heapq
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +25,6 @@ HELD = 2
 # tables; then its counts are added.
 MIX_FOLD = 6
 MIX_ROUNDS = 3
-MIX_WORDS = 20_000
 # Words with a code of their own; a size of the model, as are the slots of a table.
 CODED = 1 << 17
 SLOT_BITS = 20
@@ -34,10 +34,18 @@ CONFIDENCES = 8
 BUCKETS = 48
 RATE = 0.02
 STEP_BITS = 2_048
+# Bits and tokens worked on at a time: their arrays stay in a processor's cache.
+PIECE_BITS = 16 * STEP_BITS
+PIECE_TOKENS = 2_048
+PIECE_WORDS = 500
+# Slots gathered before they are counted.
+COUNTED_BITS = 1 << 20
 COUNTED_WORDS = 300_000
 SPELLED_WORDS = 150_000
 BATCH_CHARS = 1_500_000
 BLOCK = 8_192
+# What is left of a refined probability after as many bits in one step.
+KEPT = 0.995 ** np.arange(STEP_BITS + 1)
 SPREAD, ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -46,51 +54,73 @@ def words_of(text: str | None) -> list[bytes]:
     return [*(text or "").encode().lower().split(), b""]
 
 
+def token_lists(texts: pa.Array) -> pa.ListArray:
+    """The same words for every text of a column, in Arrow."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    flat = lists.flatten().cast(pa.binary())
+    full = pc.binary_length(flat).to_numpy() > 0
+    seen = np.concatenate(([0], np.cumsum(full)))
+    ends = np.cumsum(np.diff(seen[lists.offsets.to_numpy()]) + 1)
+    index = np.full(int(ends[-1]) if len(ends) else 0, len(flat))
+    words = np.ones(len(index), bool)
+    words[ends - 1] = False
+    index[words] = np.flatnonzero(full)
+    tokens = pa.concat_arrays([flat, pa.array([b""], pa.binary())]).take(pa.array(index))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), tokens)
+
+
 def slots(context: np.ndarray, node: np.ndarray, which: int) -> np.ndarray:
-    mixed = (context.astype(np.uint64) * SPREAD + node.astype(np.uint64) + np.uint64(which)) * ODD
+    return hashed(spun(context, which), node.astype(np.uint64) * ODD)
+
+
+def spun(context: np.ndarray, which: int) -> np.ndarray:
+    """The share of a context in a hash, which is taken once for all nodes that it meets."""
+    return (context.astype(np.uint64) * SPREAD + np.uint64(which)) * ODD
+
+
+def hashed(context: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Slots of spun contexts, one per node; ``node`` holds the nodes times ODD."""
+    mixed = context + node
     mixed ^= mixed >> np.uint64(29)
-    return ((mixed * SPREAD) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    mixed *= SPREAD
+    mixed >>= np.uint64(64 - SLOT_BITS)
+    return mixed.view(np.int64)
 
 
 class Code:
     """Huffman code of words; the last symbol is the escape."""
 
-    def __init__(self, words: list[bytes], counts: list[int], escapes: int):
-        self.place = {w: i for i, w in enumerate(words)}
-        self.counts = np.array([*counts, 0], np.int64)
+    def __init__(self, words: pa.Array, counts: np.ndarray, escapes: int):
+        self.words = words
+        self.counts = np.append(counts, 0).astype(np.int64)
         self.escape = len(words)
-        weights = [*counts, max(escapes, 1)]
-        heap = [(w, i) for i, w in enumerate(weights)]
-        heapq.heapify(heap)
-        symbols = len(weights)
-        parent, side = np.full(2 * symbols, -1, np.int64), np.zeros(2 * symbols, np.int8)
-        top = symbols
-        while len(heap) > 1:
-            (a, i), (b, j) = heapq.heappop(heap), heapq.heappop(heap)
-            parent[i] = parent[j] = top
-            side[j] = 1
-            heapq.heappush(heap, (a + b, top))
-            top += 1
+        symbols = len(words) + 1
+        parent, side = huffman(np.append(counts, max(escapes, 1)).astype(np.int64))
         # All symbols climb together; the order of the bits does not matter.
-        steps = []
-        at, symbol = np.arange(symbols), np.arange(symbols)
+        self.sizes = np.zeros(symbols, np.int64)
+        for symbol, _ in self.climb(parent, symbols):
+            self.sizes[symbol] += 1
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        # Node and bit of every step of all paths, side by side.
+        self.paths = np.empty(int(self.sizes.sum()), np.int32)
+        for step, (symbol, at) in enumerate(self.climb(parent, symbols)):
+            self.paths[self.starts[symbol] + step] = 2 * (parent[at] - symbols) + side[at]
+
+    @staticmethod
+    def climb(parent: np.ndarray, symbols: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Per step the symbols that are not at the root yet, and where they are."""
+        at = symbol = np.arange(symbols, dtype=np.int32)
         while True:
             live = parent[at] >= 0
             at, symbol = at[live], symbol[live]
             if not len(at):
-                break
-            steps.append((symbol, parent[at] - symbols, side[at]))
+                return
+            yield symbol, at
             at = parent[at]
-        owner = np.concatenate([s[0] for s in steps]) if steps else np.empty(0, np.int64)
-        order = np.argsort(owner, kind="stable")
-        self.nodes = (np.concatenate([s[1] for s in steps]) if steps else owner)[order].astype(np.int32)
-        self.bits = (np.concatenate([s[2] for s in steps]) if steps else owner)[order].astype(np.int8)
-        self.sizes = np.bincount(owner, minlength=symbols)
-        self.starts = np.cumsum(self.sizes) - self.sizes
 
-    def symbols(self, words: list[bytes]) -> np.ndarray:
-        place, escape = self.place, self.escape
-        return np.fromiter((place.get(w, escape) for w in words), np.int64, len(words))
+    def symbols(self, tokens: pa.Array) -> np.ndarray:
+        found = pc.index_in(tokens, value_set=self.words)
+        return found.fill_null(self.escape).to_numpy().astype(np.int64)
 
     def contexts(self, symbols: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
         """Per token: nothing, the word before, the two before, the last frequent word.
@@ -107,13 +137,41 @@ class Code:
     def bits_of(self, symbols: np.ndarray, contexts: list[np.ndarray]):
         """Slots per predictor, gate, bit and token of every bit."""
         sizes = self.sizes[symbols]
+        ends = np.cumsum(sizes)
         token = np.repeat(np.arange(len(symbols)), sizes)
-        depth = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        path = self.starts[symbols][token] + depth
-        node = self.nodes[path]
-        found = [slots(c[token], node, k) for k, c in enumerate(contexts)]
-        gate = np.minimum(sizes[token] - 1 - depth, 15)
-        return found, gate, self.bits[path], token
+        place = np.arange(len(token))
+        path = self.paths.take(np.repeat(self.starts[symbols] - (ends - sizes), sizes) + place)
+        node = (path >> 1).astype(np.uint64) * ODD
+        found = np.empty((PREDICTORS, len(token)), np.int64)
+        for k, c in enumerate(contexts):
+            found[k] = hashed(np.repeat(spun(c, k), sizes), node)
+        gate = np.minimum(np.repeat(ends - 1, sizes) - place, 15)
+        return found, gate, (path & 1).astype(np.int8), token
+
+
+def huffman(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parent (-1: root) and side of every node of the tree; nodes follow the symbols.
+
+    The two lightest nodes are joined, of equal ones those with the smallest number.
+    Joined nodes come in order of weight, so two queues are enough.
+    """
+    symbols = len(weights)
+    parent, side = np.full(2 * symbols, -1, np.int32), np.zeros(2 * symbols, np.int8)
+    order = np.argsort(weights, kind="stable")
+    leaves, joined = weights[order].tolist(), []
+    leaf = inner = 0
+    for top in range(symbols, 2 * symbols - 1):
+        weight = 0
+        for branch in (0, 1):
+            if inner == len(joined) or leaf < symbols and leaves[leaf] <= joined[inner]:
+                node, weight = order[leaf], weight + leaves[leaf]
+                leaf += 1
+            else:
+                node, weight = symbols + inner, weight + joined[inner]
+                inner += 1
+            parent[node], side[node] = top, branch
+        joined.append(weight)
+    return parent, side
 
 
 def spelled_bits(words: list[bytes]):
@@ -124,45 +182,65 @@ def spelled_bits(words: list[bytes]):
     place = np.arange(len(line))
     before = [np.where(place - d >= first, line[np.maximum(place - d, 0)] + 1, 0) for d in (1, 2, 3, 4)]
     context = np.zeros_like(line)
-    contexts = []
-    for b in before:
-        context = context * 257 + b
-        contexts.append(context)
     steps = np.arange(8)
-    node = (1 << steps) | (line[:, None] >> (8 - steps))
-    found = [slots(np.repeat(c, 8), node.ravel(), 16 + k) for k, c in enumerate(contexts)]
+    node = ((1 << steps) | (line[:, None] >> (8 - steps))).ravel().astype(np.uint64) * ODD
+    found = np.empty((PREDICTORS, len(node)), np.int64)
+    for k, b in enumerate(before):
+        context = context * 257 + b
+        found[k] = hashed(np.repeat(spun(context, 16 + k), 8), node)
     bits = (line[:, None] >> (7 - steps) & 1).astype(np.int8)
     gate = np.tile(steps, len(line)) + 8 * (np.repeat(place - first, 8) > 0)
     return found, gate, bits.ravel(), np.repeat(np.arange(len(words)), lengths * 8)
 
 
+def confidence(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log odds and trust of counts (slot, bit)."""
+    odds = np.log((counts[:, 1] + 0.4) / (counts[:, 0] + 0.4))
+    trust = np.minimum(np.ceil(np.log2(counts.sum(axis=1) + 1)), CONFIDENCES - 1)
+    return np.round(np.clip(odds, -12, 12) * 2_000).astype(np.int16), trust.astype(np.uint8)
+
+
 class Mixer:
     """Tables of counts as log odds, gated weights, and a refinement of the result."""
 
     def __init__(self, counts: np.ndarray, more: np.ndarray | None = None):
         """``counts`` per predictor, slot and bit, plus ``more`` of them; wide one predictor at a time."""
-        self.odds = np.empty(counts.shape[:2], np.int16)
-        self.trust = np.empty(counts.shape[:2], np.uint8)
+        odds, trust = np.empty(counts.shape[:2], np.int16), np.empty(counts.shape[:2], np.uint8)
         for k in range(len(counts)):
             own = counts[k].astype(np.int64)
             if more is not None:
                 own += more[k]
-            odds = np.log((own[:, 1] + 0.4) / (own[:, 0] + 0.4))
-            self.odds[k] = np.round(np.clip(odds, -12, 12) * 2_000).astype(np.int16)
-            self.trust[k] = np.minimum(np.ceil(np.log2(own.sum(axis=1) + 1)), CONFIDENCES - 1).astype(np.uint8)
+            odds[k], trust[k] = confidence(own)
+        self.take(odds, trust)
+
+    @classmethod
+    def of_tables(cls, odds: np.ndarray, trust: np.ndarray) -> Mixer:
+        """A mixer over tables (predictor, slot) that were made elsewhere."""
+        mixer = cls.__new__(cls)
+        mixer.take(odds, trust)
+        return mixer
+
+    def take(self, odds: np.ndarray, trust: np.ndarray) -> None:
+        self.odds, self.trust = odds, trust
         self.weights = np.full((16, PREDICTORS, CONFIDENCES), 0.3, np.float64)
         self.weights[:, :, 0] = 0.0
         self.refined = np.tile(sigmoid(self.centres()), (16, 1))
 
+    @cached_property
+    def packed(self) -> np.ndarray:
+        """Log odds and place among weights, so that a bit looks a slot up once; built where bits are met."""
+        place = np.arange(len(self.odds))[:, None] * CONFIDENCES + self.trust
+        return self.odds * np.int32(PREDICTORS * CONFIDENCES) + place.astype(np.int32)
+
     def start_from(self, flat: np.ndarray) -> None:
         """Take weights and refinement from one array."""
         weights, refined = flat[: self.weights.size], flat[self.weights.size :]
         self.weights = weights.reshape(self.weights.shape).copy()
         self.refined = refined.reshape(self.refined.shape).copy()
 
-    def with_counts(self, counts: np.ndarray, more: np.ndarray | None = None) -> Mixer:
+    def with_tables(self, odds: np.ndarray, trust: np.ndarray) -> Mixer:
         """The same weights and refinement over other tables."""
-        mixer = Mixer(counts, more)
+        mixer = Mixer.of_tables(odds, trust)
         mixer.weights, mixer.refined = self.weights, self.refined
         return mixer
 
@@ -170,38 +248,51 @@ class Mixer:
     def centres() -> np.ndarray:
         return (np.arange(BUCKETS) + 0.5) * 24.0 / BUCKETS - 12.0
 
-    def inputs(self, found: list[np.ndarray], gate: np.ndarray):
-        odds = np.stack([self.odds[k, s] for k, s in enumerate(found)]) / 2_000.0
-        trust = np.stack([self.trust[k, s] for k, s in enumerate(found)])
-        weight = (gate * PREDICTORS + np.arange(PREDICTORS)[:, None]) * CONFIDENCES + trust
-        return odds, weight
+    def inputs(self, found: np.ndarray, gate: np.ndarray):
+        seen = np.empty((len(found), len(gate)), np.int32)
+        for k, s in enumerate(found):
+            np.take(self.packed[k], s, out=seen[k], mode="clip")
+        own = PREDICTORS * CONFIDENCES
+        return (seen >> (own.bit_length() - 1)) / 2_000.0, (seen & (own - 1)) + gate * own
 
     def mix(self, odds: np.ndarray, weight: np.ndarray, gate: np.ndarray):
-        z = np.clip((self.weights.ravel()[weight] * odds).sum(axis=0), -11.99, 11.99)
+        """Probability of a one by the weights, and its cell of the refinement."""
+        z = self.weights.ravel().take(weight)
+        z *= odds
+        z = np.clip(z.sum(axis=0), -11.99, 11.99)
         cell = gate * BUCKETS + ((z + 12.0) * (BUCKETS / 24.0)).astype(np.int64)
-        p = sigmoid(z)
-        return p, cell, 0.5 * (p + self.refined.ravel()[cell])
+        return sigmoid(z), cell
 
-    def cost(self, found: list[np.ndarray], gate: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    def cost(self, found: np.ndarray, gate: np.ndarray, bits: np.ndarray) -> np.ndarray:
         """log10 of the probability given to each bit."""
-        _, _, p = self.mix(*self.inputs(found, gate), gate)
-        return np.log10(np.where(bits == 1, p, 1.0 - p))
-
-    def learn(self, found: list[np.ndarray], gate: np.ndarray, bits: np.ndarray) -> None:
+        p, cell = self.mix(*self.inputs(found, gate), gate)
+        p += self.refined.ravel()[cell]
+        p *= 0.5
+        # 1 - p where the bit is 0.
+        p -= bits == 0
+        return np.log10(np.abs(p, out=p))
+
+    def learn(self, found: np.ndarray, gate: np.ndarray, bits: np.ndarray) -> None:
         """Online: predict some bits, then move weights down the coding cost and refine."""
+        for at in range(0, len(bits), PIECE_BITS):
+            part = slice(at, at + PIECE_BITS)
+            self.learn_piece(found[:, part], gate[part], bits[part])
+
+    def learn_piece(self, found: np.ndarray, gate: np.ndarray, bits: np.ndarray) -> None:
+        inputs, real = self.inputs(found, gate), bits.astype(float)
         for at in range(0, len(bits), STEP_BITS):
             part = slice(at, at + STEP_BITS)
-            odds, weight = self.inputs([s[part] for s in found], gate[part])
-            p, cell, _ = self.mix(odds, weight, gate[part])
-            error = bits[part] - p
+            odds, weight = (np.ascontiguousarray(x[:, part]) for x in inputs)
+            p, cell = self.mix(odds, weight, gate[part])
+            odds *= real[part] - p
             size = self.weights.size
-            slope = np.bincount(weight.ravel(), (error * odds).ravel(), size)
+            slope = np.bincount(weight.ravel(), odds.ravel(), size)
             uses = np.bincount(weight.ravel(), minlength=size)
             self.weights += (RATE * slope / np.sqrt(np.maximum(uses, 1.0))).reshape(self.weights.shape)
             size = self.refined.size
-            ones = np.bincount(cell, bits[part].astype(float), size)
+            ones = np.bincount(cell, real[part], size)
             uses = np.bincount(cell, minlength=size)
-            share = 1.0 - 0.995**uses
+            share = 1.0 - KEPT[uses]
             step = share * (ones / np.maximum(uses, 1) - self.refined.ravel())
             self.refined = np.clip((self.refined.ravel() + step).reshape(self.refined.shape), 1e-6, 1 - 1e-6)
 
@@ -210,16 +301,17 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-x))
 
 
-def text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
-    """Slices of a stream of batches that are not long, with the words of their texts."""
+def text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.ListArray]]:
+    """Slices of a stream of batches that are not long, with the tokens of their texts."""
     for batch in batches:
-        texts, start = batch.column("text").to_pylist(), 0
+        texts, start = batch.column("text"), 0
+        sizes = pc.fill_null(pc.utf8_length(texts), 0).to_numpy()
         while start < len(texts):
             end, chars = start, 0
             while end < len(texts) and (end == start or chars < BATCH_CHARS):
-                chars += len(texts[end] or "")
+                chars += int(sizes[end])
                 end += 1
-            yield batch.slice(start, end - start), [words_of(t) for t in texts[start:end]]
+            yield batch.slice(start, end - start), token_lists(texts.slice(start, end - start))
             start = end
 
 
@@ -227,45 +319,63 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     """word, n: how often each token occurs, counted in the tasks before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter: Counter = Counter()
+        parts: list[pa.RecordBatch] = []
 
-        def flush() -> pa.RecordBatch:
-            columns = [pa.array(list(counter), pa.binary()), pa.array(list(counter.values()), pa.int64())]
-            counter.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["word", "n"])
+        def added() -> pa.RecordBatch:
+            whole = pa.Table.from_batches(parts).group_by("word", use_threads=False).aggregate([("n", "sum")])
+            return whole.rename_columns({"n_sum": "n"}).select(["word", "n"]).combine_chunks().to_batches()[0]
 
         for _, lists in text_batches(batches):
-            for words in lists:
-                counter.update(words)
-            if len(counter) > COUNTED_WORDS:
-                yield flush()
-        yield flush()
+            parts.append(pa.RecordBatch.from_struct_array(pc.value_counts(lists.values)).rename_columns(["word", "n"]))
+            if sum(map(len, parts)) > 2 * COUNTED_WORDS:
+                parts = [added()]
+                if len(parts[0]) > COUNTED_WORDS:
+                    yield parts.pop()
+        if parts:
+            yield added()
 
     return docs.select("text").mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def flat_symbols(code: Code, lists: list[list[bytes]]):
+def flat_symbols(code: Code, lists: pa.ListArray | list[list[bytes]]):
     """Symbols of all tokens, where each one's document starts, and tokens per document."""
-    sizes = np.array([len(x) for x in lists])
-    symbols = code.symbols([w for words in lists for w in words])
-    return symbols, np.repeat(np.cumsum(sizes) - sizes, sizes), sizes
+    if not isinstance(lists, pa.ListArray):
+        lists = pa.array(lists, pa.list_(pa.binary()))
+    sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    return code.symbols(lists.values), np.repeat(np.cumsum(sizes) - sizes, sizes), sizes
+
+
+COUNTS = "block int, counts binary"
 
 
-def summed(streams, frame: DataFrame) -> np.ndarray:
-    """Counts per predictor, slot and bit over all of ``frame``.
+def summed(streams, frame: DataFrame) -> DataFrame:
+    """Counts per predictor, slot and bit over all of ``frame``, as a written table of blocks.
 
     ``streams`` makes slots and bits out of batches.  A task adds up tables of its
-    own and sends the blocks that are not all zero; blocks meet by number, so the
-    driver gets one set of tables whatever the input.
+    own and sends the blocks that are not all zero; blocks meet by number.
     """
-    names, cells = ["block", "counts"], PREDICTORS << (SLOT_BITS + 1)
+    names = ["block", "counts"]
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = np.zeros(cells, np.int64)
+        tables = np.zeros((PREDICTORS, 2 << SLOT_BITS), np.int64)
+        gathered, full = np.empty((PREDICTORS, COUNTED_BITS), np.int64), 0
+
+        def count() -> None:
+            for own, met in zip(tables, gathered):
+                own += np.bincount(met[:full], minlength=len(own))
+
         for found, bits in streams(batches):
-            for k, s in enumerate(found):
-                own = tables[k << (SLOT_BITS + 1) : (k + 1) << (SLOT_BITS + 1)]
-                own += np.bincount(s * 2 + bits, minlength=len(own))
+            for at in range(0, len(bits), COUNTED_BITS):
+                part = slice(at, at + COUNTED_BITS)
+                some = found[:, part] * 2
+                some += bits[part]
+                if full + some.shape[1] > COUNTED_BITS:
+                    count()
+                    full = 0
+                gathered[:, full : full + some.shape[1]] = some
+                full += some.shape[1]
+        count()
+        del gathered
         blocks = tables.reshape(-1, BLOCK)
         for start in range(0, len(blocks), 64):
             some = [start + i for i in np.flatnonzero(blocks[start : start + 64].any(axis=1)).tolist()]
@@ -273,21 +383,43 @@ def summed(streams, frame: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), counts], names=names)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                part = np.frombuffer(raw, np.int32)
-                sums[block] = sums[block] + part if block in sums else part.astype(np.int64)
+        sums = block_sums(batches)
         if sums:
             counts = pa.array([np.minimum(v, 1 << 30).astype(np.int32).tobytes() for v in sums.values()], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), counts], names=names)
 
-    schema = "block int, counts binary"
-    total = np.zeros((cells // BLOCK, BLOCK), np.int32)
-    merged = frame.mapInArrow(local, schema).repartition("block").mapInArrow(merge, schema)
-    for r in merged.collect():
-        total[r["block"]] = np.frombuffer(r["counts"], np.int32)
-    return total.reshape(PREDICTORS, 1 << SLOT_BITS, 2)
+    return written(frame.mapInArrow(local, COUNTS).repartition("block").mapInArrow(merge, COUNTS), "lm-counts")
+
+
+def block_sums(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            part = np.frombuffer(raw, np.int32)
+            sums[block] = sums[block] + part if block in sums else part.astype(np.int64)
+    return sums
+
+
+def odds_tables(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Log odds and trust (predictor, slot) of blocks of counts, of which a number may come twice.
+
+    The tasks add the counts up; the driver gets three bytes a slot, whatever the input.
+    """
+    names = ["block", "odds", "trust"]
+
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, own in block_sums(batches).items():
+            odds, trust = (pa.array([x.tobytes()], pa.binary()) for x in confidence(own.reshape(-1, 2)))
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), odds, trust], names=names)
+
+    odds = np.zeros(((PREDICTORS << (SLOT_BITS + 1)) // BLOCK, BLOCK // 2), np.int16)
+    trust = np.zeros(odds.shape, np.uint8)
+    made = counts.repartition("block").mapInArrow(tables, "block int, odds binary, trust binary")
+    for batch in made.toArrow().to_batches():
+        for block, some, sure in zip(*batch.columns):
+            odds[block.as_py()] = np.frombuffer(some.as_buffer(), np.int16)
+            trust[block.as_py()] = np.frombuffer(sure.as_buffer(), np.uint8)
+    return odds.reshape(PREDICTORS, -1), trust.reshape(PREDICTORS, -1)
 
 
 def fit(shared, frame: DataFrame, learn, rounds: int = MIX_ROUNDS) -> None:
@@ -315,7 +447,7 @@ def fit(shared, frame: DataFrame, learn, rounds: int = MIX_ROUNDS) -> None:
         mixer.start_from(start)
 
 
-def token_blocks(code: Code, symbols: np.ndarray, first: np.ndarray, tokens: int = 1 << 16):
+def token_blocks(code: Code, symbols: np.ndarray, first: np.ndarray, tokens: int = PIECE_TOKENS):
     """Bits of a run of tokens, some tokens at a time: (from, found, gate, bits, token)."""
     contexts = code.contexts(symbols, first)
     for at in range(0, len(symbols), tokens):
@@ -323,6 +455,24 @@ def token_blocks(code: Code, symbols: np.ndarray, first: np.ndarray, tokens: int
         yield at, *code.bits_of(symbols[part], [c[part] for c in contexts])
 
 
+def step_blocks(code: Code, symbols: np.ndarray, first: np.ndarray, tokens: int = 1 << 16):
+    """The same bits, cut at whole steps of what is learned: (found, gate, bits).
+
+    Steps begin anew every ``tokens`` tokens.
+    """
+    contexts = code.contexts(symbols, first)
+    for at in range(0, len(symbols), tokens):
+        ends = np.cumsum(code.sizes[symbols[at : at + tokens]])
+        for low in range(0, int(ends[-1]), PIECE_BITS):
+            high = min(low + PIECE_BITS, int(ends[-1]))
+            begin, end = np.searchsorted(ends, [low, high - 1], side="right").tolist()
+            part = slice(at + begin, at + end + 1)
+            found, gate, bits, _ = code.bits_of(symbols[part], [c[part] for c in contexts])
+            skip = low - (int(ends[begin - 1]) if begin else 0)
+            own = slice(skip, skip + high - low)
+            yield found[:, own], gate[own], bits[own]
+
+
 class Model:
     """Everything that scoring needs, of a size set by parameters."""
 
@@ -339,13 +489,14 @@ class Model:
             if room < 0:
                 break
             least = r["n"]
-        coded = vocab.filter(F.col("n") >= least).collect()
-        coded.sort(key=lambda r: (-r["n"], bytes(r["word"])))
-        counts = [r["n"] for r in coded]
-        self.escapes = self.total - sum(counts)
-        self.code = Code([bytes(r["word"]) for r in coded], counts, self.escapes + once)
+        coded = vocab.filter(F.col("n") >= least).select("word", "n").toArrow()
+        coded = coded.take(pc.sort_indices(coded, sort_keys=[("n", "descending"), ("word", "ascending")])).combine_chunks()
+        counts = coded.column("n").to_numpy()
+        self.escapes = self.total - int(counts.sum())
+        words = pa.concat_arrays([pa.array([], pa.binary()), *coded.column("word").chunks])
+        self.code = Code(words, counts, self.escapes + once)
         # The driver keeps nothing that it is done with.
-        del coded, counts, kinds
+        del coded, counts, words, kinds
         # Good and Turing: words seen once stand for words not seen.
         self.seen = min(self.escapes / max(self.escapes + once, 1), 0.999)
         code = spark.sparkContext.broadcast(self.code)
@@ -353,14 +504,14 @@ class Model:
         def word_bits(batches):
             for _, lists in text_batches(batches):
                 symbols, first, _ = flat_symbols(code.value, lists)
-                for _, found, _, bits, _ in token_blocks(code.value, symbols, first, 1 << 17):
+                for _, found, _, bits, _ in token_blocks(code.value, symbols, first):
                     yield found, bits
 
         def tail_bits(batches):
             for batch in batches:
                 words = batch.column("word").to_pylist()
-                for at in range(0, len(words), MIX_WORDS):
-                    found, _, bits, _ = spelled_bits(words[at : at + MIX_WORDS])
+                for at in range(0, len(words), PIECE_WORDS):
+                    found, _, bits, _ = spelled_bits(words[at : at + PIECE_WORDS])
                     yield found, bits
 
         # Every different word teaches spelling, so that small inputs do as well.
@@ -368,14 +519,14 @@ class Model:
         kept = F.pmod(F.crc32("word"), F.lit(8)) == 0
         tables = summed(word_bits, docs.filter(F.col("part") != MIX_FOLD).select("text"))
         spelled = summed(tail_bits, tail.filter(~kept))
-        words, letters = (spark.sparkContext.broadcast(Mixer(t)) for t in (tables, spelled))
+        words, letters = (spark.sparkContext.broadcast(Mixer.of_tables(*odds_tables(t))) for t in (tables, spelled))
 
         def fit_words(mixer, batches):
             rows = 0
             for _, lists in text_batches(batches):
                 rows += len(lists)
                 symbols, first, _ = flat_symbols(code.value, lists)
-                for _, found, gate, bits, _ in token_blocks(code.value, symbols, first):
+                for found, gate, bits in step_blocks(code.value, symbols, first):
                     mixer.learn(found, gate, bits)
             return rows
 
@@ -394,22 +545,29 @@ class Model:
         fit(words, sample, fit_words)
         fit(letters, spellings, fit_letters)
         # With the weights known, the rows that fitted them teach contexts as well.
-        self.words = words.value.with_counts(tables, summed(word_bits, sample))
-        del tables
-        self.letters = letters.value.with_counts(spelled, summed(tail_bits, spellings))
+        self.words = words.value.with_tables(*odds_tables(tables.unionByName(summed(word_bits, sample))))
+        self.letters = letters.value.with_tables(*odds_tables(spelled.unionByName(summed(tail_bits, spellings))))
         for done in (code, words, letters):
             done.destroy()
 
     def spell(self, words: list[bytes]) -> np.ndarray:
         """log10 probability of each word by its letters."""
         costs = []
-        for at in range(0, len(words), 2_000):
-            part = words[at : at + 2_000]
+        for at in range(0, len(words), PIECE_WORDS):
+            part = words[at : at + PIECE_WORDS]
             found, gate, bits, word = spelled_bits(part)
             costs.append(np.bincount(word, self.letters.cost(found, gate, bits), len(part)))
         return np.concatenate(costs) if costs else np.empty(0)
 
 
+def escaped(lists: pa.ListArray, marked: np.ndarray) -> list[Counter]:
+    """Per document its words at the marked tokens, counted."""
+    places = np.flatnonzero(marked)
+    words = lists.values.take(pa.array(places)).to_pylist()
+    bounds = np.searchsorted(places, lists.offsets.to_numpy()).tolist()
+    return [Counter(words[a:b]) for a, b in zip(bounds, bounds[1:])]
+
+
 SCORED = (
     "doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, "
     "rare array<struct<word:binary,times:int,spelled:float>>"
@@ -447,8 +605,8 @@ def scores(docs: DataFrame) -> DataFrame:
                 cost[at : at + len(some)] = some
             plain = symbols != m.code.escape
             base = np.bincount(document, np.where(plain, base_of[symbols], 0.0), len(lists))
-            place, known_words = m.code.place, np.bincount(document, plain, len(lists))
-            rare = [Counter(w for w in words if w not in place) for words in lists]
+            known_words = np.bincount(document, plain, len(lists))
+            rare = escaped(lists, symbols == m.code.escape)
             new = sorted(set().union(*rare) - spelling.keys())
             if len(spelling) > SPELLED_WORDS:
                 spelling.clear()
