@@ -24,7 +24,7 @@ from storyloom.settings import (
 )
 from storyloom.sources.store import Store
 from storyloom.streaming.state import story_rows, touched_stories
-from storyloom.tables import lookup, written
+from storyloom.tables import dealt, lookup, written
 
 _TYPES = {
     "bigint": T.LongType(),
@@ -175,7 +175,8 @@ class PollCycle:
         is limited to this batch, the batches of the look-back windows and the
         stories that are touched.
         """
-        items = written(items.select(*ITEMS.fieldNames()), "poll-items")
+        # A landed file is often one row group, which one task would parse alone.
+        items = written(dealt(items.select(*ITEMS.fieldNames())), "poll-items")
         span = items.agg(F.min("fetched_at").alias("first"), F.max("fetched_at").alias("last"))
         now = span.select(F.col("last").cast("string")).first()[0]
         if now is None:
