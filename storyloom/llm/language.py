@@ -319,20 +319,21 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     """word, n: how often each token occurs, counted in the tasks before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[pa.RecordBatch] = []
+        held, times = pa.array([], pa.binary()), np.empty(0, np.int64)
 
-        def added() -> pa.RecordBatch:
-            whole = pa.Table.from_batches(parts).group_by("word", use_threads=False).aggregate([("n", "sum")])
-            return whole.rename_columns({"n_sum": "n"}).select(["word", "n"]).combine_chunks().to_batches()[0]
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([held, pa.array(times)], names=["word", "n"])
 
         for _, lists in text_batches(batches):
-            parts.append(pa.RecordBatch.from_struct_array(pc.value_counts(lists.values)).rename_columns(["word", "n"]))
-            if sum(map(len, parts)) > 2 * COUNTED_WORDS:
-                parts = [added()]
-                if len(parts[0]) > COUNTED_WORDS:
-                    yield parts.pop()
-        if parts:
-            yield added()
+            words, more = pc.value_counts(lists.values).flatten()
+            # Encoding keeps words in order of their first occurrence; sums in doubles are exact here.
+            met = pa.concat_arrays([held, words]).dictionary_encode()
+            held, times = met.dictionary, np.concatenate([times, more.to_numpy()])
+            times = np.bincount(met.indices.to_numpy(), times, len(held)).astype(np.int64)
+            if len(held) > COUNTED_WORDS:
+                yield flush()
+                held, times = pa.array([], pa.binary()), np.empty(0, np.int64)
+        yield flush()
 
     return docs.select("text").mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
