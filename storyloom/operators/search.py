@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from storyloom.functions.binding import let
 from storyloom.functions.dates import effective_time
@@ -15,6 +20,8 @@ from storyloom.tables import page_rows
 
 # Weight of a title and of a body occurrence.
 TITLE_WEIGHT, BODY_WEIGHT = 1.0, 0.4
+# Text that the index is made of at a time; its arrays take about 20 times as much.
+SLICE_BYTES = 2 << 20
 
 # English words the index leaves out (the public Snowball list).
 SEARCH_STOPWORDS = tuple(
@@ -54,60 +61,102 @@ def lexemes(text: Column) -> Column:
     )
 
 
+def _indexed(words: pa.Array) -> pa.Array:
+    """The same for an Arrow array of lower-cased words: lexemes, or null."""
+    ends = pc.ends_with(words, "s")
+    plurals = words.filter(ends)
+    rules = pa.StructArray.from_arrays(
+        [pc.match_substring_regex(plurals, p) for p in ("[^ea]ies$", "[^aeo]es$", "[^us]s$")], names=["y", "es", "s"]
+    )
+    cut = pc.utf8_slice_codeunits(plurals, 0, -1)
+    cut = pc.case_when(rules, pc.replace_substring_regex(plurals, "ies$", "y"), cut, cut, plurals)
+    left_out = pc.or_(pc.less(pc.utf8_length(words), 2), pc.is_in(words, value_set=pa.array(SEARCH_STOPWORDS)))
+    return pc.if_else(left_out, pa.scalar(None, pa.string()), pc.replace_with_mask(words, ends, cut))
+
+
 def postings(articles: DataFrame, *carried: str) -> DataFrame:
     """Inverted index: lex, article_id, title_tf, body_tf, sorted positions, carried columns.
 
     Positions count every word of title then body.  The words of an article are
-    sorted and cut into runs within its row, so nothing is shuffled.
+    sorted and cut into runs where its row is read, so nothing is shuffled.  An article
+    with a null title or content has no postings.
     """
-    in_title = F.transform(
-        lexemes(F.col("title")), lambda w: F.struct(w.alias("lex"), F.lit(1).alias("title"))
+    kinds = {name: articles.schema[name].dataType for name in ("id", *carried)}
+    schema = T.StructType(
+        [
+            T.StructField("lex", T.StringType()),
+            T.StructField("article_id", kinds["id"]),
+            T.StructField("title_tf", T.IntegerType()),
+            T.StructField("body_tf", T.IntegerType()),
+            T.StructField("positions", T.ArrayType(T.IntegerType())),
+            *(T.StructField(name, kinds[name]) for name in carried),
+        ]
     )
-    in_body = F.transform(
-        lexemes(F.col("content")), lambda w: F.struct(w.alias("lex"), F.lit(0).alias("title"))
+    texts = articles.select(
+        "id", *carried, _spaced(F.col("title")).alias("_title"), _spaced(F.col("content")).alias("_body")
     )
-    words = F.filter(
-        F.transform(
-            F.concat(in_title, in_body),
-            lambda w, i: F.struct(w["lex"].alias("lex"), i.alias("pos"), w["title"].alias("title")),
+    return texts.filter("_title is not null and _body is not null").mapInArrow(_postings, schema)
+
+
+def _spaced(text: Column) -> Column:
+    """The words of a lower-cased text, each two with one space between them."""
+    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sizes = sum(pc.binary_length(batch.column(c)).to_numpy() for c in ("_title", "_body"))
+        ends, start = np.cumsum(sizes, dtype=np.int64), 0
+        while start < len(ends):
+            held = ends[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, held + SLICE_BYTES, side="right")))
+            yield _runs(batch.slice(start, end - start))
+            start = end
+
+
+def _runs(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A row per article and lexeme."""
+    title, body = (pc.split_pattern(batch.column(c), " ") for c in ("_title", "_body"))
+    words, article, body_word = [], [], []
+    for k, lists in enumerate((title, body)):
+        flat = lists.flatten()
+        full = pc.binary_length(flat).to_numpy() > 0
+        words.append(flat.filter(pa.array(full)))
+        article.append(pc.list_parent_indices(lists).to_numpy()[full])
+        body_word.append(np.full(len(article[-1]), k))
+    article, body_word = np.concatenate(article), np.concatenate(body_word)
+    # Articles in order, of each the title first; places count all words of an article.
+    order = np.argsort(2 * article + body_word, kind="stable")
+    article, body_word = article[order], body_word[order]
+    place = np.arange(len(article)) - np.searchsorted(article, article)
+
+    # Words are looked at once each, and numbered by their lexemes.
+    coded = pa.concat_arrays(words).dictionary_encode()
+    known = _indexed(coded.dictionary).dictionary_encode()
+    lex = known.indices.fill_null(-1).to_numpy().astype(np.int64)[coded.indices.to_numpy()[order]]
+    known = known.dictionary
+
+    kept = np.flatnonzero(lex >= 0)
+    key = article[kept] * max(len(known), 1) + lex[kept]
+    # Places stay in order within a run.
+    by_key = np.argsort(key, kind="stable")
+    kept, key = kept[by_key], key[by_key]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    bounds = np.append(first, len(key))
+    in_body = np.add.reduceat(body_word[kept], first) if len(first) else first
+    own = pa.array(article[kept[first]])
+    columns = {
+        "lex": known.take(pa.array(lex[kept[first]])),
+        "article_id": batch.column("id").take(own),
+        "title_tf": pa.array((np.diff(bounds) - in_body).astype(np.int32)),
+        "body_tf": pa.array(in_body.astype(np.int32)),
+        "positions": pa.ListArray.from_arrays(
+            pa.array(bounds.astype(np.int32)), pa.array(place[kept].astype(np.int32))
         ),
-        lambda w: w["lex"].isNotNull(),
-    )
-    runs = let(F.sort_array(words), lambda s: let(_run_starts(s), lambda b: _runs(s, b)))
-    return articles.select(F.col("id").alias("article_id"), *carried, F.inline(runs)).select(
-        "lex",
-        "article_id",
-        "title_tf",
-        (F.size("positions") - F.col("title_tf")).alias("body_tf"),
-        "positions",
-        *carried,
-    )
-
-
-def _run_starts(words: Column) -> Column:
-    """Places where another lexeme begins, and the size at the end."""
-    places = F.filter(
-        F.transform(
-            words,
-            lambda w, i: F.when(
-                (i == 0) | (w["lex"] != F.get(words, i - 1)["lex"]), i
-            ),
-        ),
-        lambda i: i.isNotNull(),
-    )
-    return F.concat(places, F.array(F.size(words)))
-
-
-def _runs(words: Column, starts: Column) -> Column:
-    def run(begin: Column, k: Column) -> Column:
-        own = F.slice(words, begin + 1, starts[k + 1] - begin)
-        return F.struct(
-            words[begin]["lex"].alias("lex"),
-            F.transform(own, lambda w: w["pos"]).alias("positions"),
-            F.aggregate(own, F.lit(0), lambda n, w: n + w["title"]).alias("title_tf"),
-        )
-
-    return F.transform(F.slice(starts, 1, F.size(starts) - 1), run)
+    }
+    for name in batch.schema.names[1:-2]:
+        columns[name] = batch.column(name).take(own)
+    return pa.RecordBatch.from_pydict(columns)
 
 
 def labelled_postings(index: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import re
 import time
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -212,6 +213,33 @@ def test_empty_index(spark, articles, tmp_path):
     assert se.matches(stored, articles.limit(0), "rates").count() == 0
 
 
+def test_postings_are_those_of_the_lexemes(spark, monkeypatch):
+    """The index made of Arrow batches holds what the column expression gives, whatever the slices."""
+    odd = ["", "  ", "ies ties series skies", "es is us bus class Class's glasses goes shoes trees", "s ss as x yes",
+           "It is a THE\u0130\u0131 \u00c9t\u00e9s na\u00efve-words e\u0301s \U00010400s \u0663\u0664 a1s", "rates rate Rates RATE"]
+    rows = [(i, t, b) for i, (t, b) in enumerate((t, b) for t in [*odd, None] for b in [*odd, None])]
+    articles = spark.createDataFrame(rows, "id bigint, title string, content string").withColumn("more", F.array("id"))
+    wanted = {}
+    words = articles.select("id", F.size(se.lexemes(F.col("title"))).alias("n"), F.concat(se.lexemes(F.col("title")), se.lexemes(F.col("content"))).alias("w"))
+    for row in words.collect():
+        for place, lex in enumerate(row.w or []):
+            if lex is not None:
+                entry = wanted.setdefault((lex, row.id), [0, 0, []])
+                entry[place >= row.n] += 1
+                entry[2].append(place)
+    got = se.postings(articles, "more").collect()
+    assert {(r.lex, r.article_id): [r.title_tf, r.body_tf, r.positions] for r in got} == wanted
+    assert len(got) == len(wanted) and all(r.more == [r.article_id] for r in got)
+
+    texts = pa.RecordBatch.from_pydict({"id": [1, 2, 3], "_title": ["a rate", "", " city"], "_body": ["rates of", " ", "bank rate "]})
+    whole = pa.Table.from_batches(se._postings([texts])).to_pylist()
+    monkeypatch.setattr(se, "SLICE_BYTES", 1)
+    parts = list(se._postings([texts]))
+    assert len(parts) == 3
+    key = lambda r: (r["lex"], r["article_id"])
+    assert sorted(pa.Table.from_batches(parts).to_pylist(), key=key) == sorted(whole, key=key)
+
+
 def plain_headline(text, wanted, fragments=2, max_words=30, min_words=10):
     pieces = re.split(r"\s+", text.strip(" "))
     hits = [i for i, p in enumerate(pieces) if set(words(p)) & wanted]
