@@ -34,9 +34,9 @@ CONFIDENCES = 8
 BUCKETS = 48
 RATE = 0.02
 STEP_BITS = 2_048
-# Bits and tokens worked on at a time: their arrays stay in a processor's cache.
+# Bits and tokens worked on at a time: their arrays take some ten MB, and calls are few.
 PIECE_BITS = 16 * STEP_BITS
-PIECE_TOKENS = 2_048
+PIECE_TOKENS = 16_384
 PIECE_WORDS = 500
 # Slots gathered before they are counted.
 COUNTED_BITS = 1 << 20
@@ -44,6 +44,8 @@ COUNTED_WORDS = 300_000
 SPELLED_WORDS = 150_000
 BATCH_CHARS = 1_500_000
 BLOCK = 8_192
+# Bits whose probabilities, each above 3e-6, are multiplied in a double without underflow.
+LONGEST_PRODUCT = 50
 # What is left of a refined probability after as many bits in one step.
 KEPT = 0.995 ** np.arange(STEP_BITS + 1)
 SPREAD, ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -134,17 +136,28 @@ class Code:
         topic = np.where(last >= first, symbols[last], self.escape + 1)
         return [np.zeros_like(symbols), shifted[0] + 1, (shifted[0] + 1) * 1_000_003 + shifted[1], topic + 1]
 
+    @cached_property
+    def plain_slots(self) -> np.ndarray:
+        """Slots of all steps without a context, the first predictor's; built where bits are met."""
+        found, size = np.empty(len(self.paths), np.int32), 1 << 16
+        for at in range(0, len(found), size):
+            node = (self.paths[at : at + size] >> 1).astype(np.uint64)
+            found[at : at + size] = slots(np.zeros_like(node), node, 0)
+        return found
+
     def bits_of(self, symbols: np.ndarray, contexts: list[np.ndarray]):
         """Slots per predictor, gate, bit and token of every bit."""
         sizes = self.sizes[symbols]
         ends = np.cumsum(sizes)
         token = np.repeat(np.arange(len(symbols)), sizes)
         place = np.arange(len(token))
-        path = self.paths.take(np.repeat(self.starts[symbols] - (ends - sizes), sizes) + place)
+        step = np.repeat(self.starts[symbols] - (ends - sizes), sizes) + place
+        path = self.paths.take(step)
         node = (path >> 1).astype(np.uint64) * ODD
         found = np.empty((PREDICTORS, len(token)), np.int64)
-        for k, c in enumerate(contexts):
-            found[k] = hashed(np.repeat(spun(c, k), sizes), node)
+        found[0] = self.plain_slots.take(step)
+        for k in range(1, PREDICTORS):
+            found[k] = hashed(spun(contexts[k], k).take(token), node)
         gate = np.minimum(np.repeat(ends - 1, sizes) - place, 15)
         return found, gate, (path & 1).astype(np.int8), token
 
@@ -263,14 +276,39 @@ class Mixer:
         cell = gate * BUCKETS + ((z + 12.0) * (BUCKETS / 24.0)).astype(np.int64)
         return sigmoid(z), cell
 
-    def cost(self, found: np.ndarray, gate: np.ndarray, bits: np.ndarray) -> np.ndarray:
-        """log10 of the probability given to each bit."""
-        p, cell = self.mix(*self.inputs(found, gate), gate)
-        p += self.refined.ravel()[cell]
+    def cost(self, found: np.ndarray, gate: np.ndarray, bits: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
+        """log10 of the probability given to each bit, or to each run of them.
+
+        Runs begin at ``starts``, none is empty.
+        """
+        if not len(bits):
+            return np.zeros(0)
+        own = PREDICTORS * CONFIDENCES
+        weights, gates = self.weights.ravel() / 2_000.0, (gate * own).astype(np.int32)
+        z = np.zeros(len(gate))
+        for table, s in zip(self.packed, found):
+            seen = table.take(s, mode="clip")
+            part = weights.take((seen & (own - 1)) + gates)
+            seen >>= own.bit_length() - 1
+            part *= seen
+            z += part
+        np.clip(z, -11.99, 11.99, out=z)
+        cell = ((z + 12.0) * (BUCKETS / 24.0)).astype(np.int32)
+        cell += (gate * BUCKETS).astype(np.int32)
+        np.negative(z, out=z)
+        np.exp(z, out=z)
+        z += 1.0
+        p = np.divide(1.0, z, out=z)
+        p += self.refined.ravel().take(cell)
         p *= 0.5
         # 1 - p where the bit is 0.
         p -= bits == 0
-        return np.log10(np.abs(p, out=p))
+        np.abs(p, out=p)
+        if starts is None:
+            return np.log10(p, out=p)
+        if np.diff(starts, append=len(p)).max() > LONGEST_PRODUCT:
+            return np.add.reduceat(np.log10(p), starts)
+        return np.log10(np.multiply.reduceat(p, starts))
 
     def learn(self, found: np.ndarray, gate: np.ndarray, bits: np.ndarray) -> None:
         """Online: predict some bits, then move weights down the coding cost and refine."""
@@ -557,7 +595,8 @@ class Model:
         for at in range(0, len(words), PIECE_WORDS):
             part = words[at : at + PIECE_WORDS]
             found, gate, bits, word = spelled_bits(part)
-            costs.append(np.bincount(word, self.letters.cost(found, gate, bits), len(part)))
+            letters = self.letters.cost(found, gate, bits, np.arange(0, len(bits), 8))
+            costs.append(np.bincount(word[::8], letters, len(part)))
         return np.concatenate(costs) if costs else np.empty(0)
 
 
@@ -602,7 +641,7 @@ def scores(docs: DataFrame) -> DataFrame:
             document = np.repeat(np.arange(len(lists)), sizes)
             cost = np.zeros(len(symbols))
             for at, found, gate, bits, token in token_blocks(m.code, symbols, first):
-                some = np.bincount(token, m.words.cost(found, gate, bits))
+                some = m.words.cost(found, gate, bits, np.flatnonzero(np.diff(token, prepend=-1)))
                 cost[at : at + len(some)] = some
             plain = symbols != m.code.escape
             base = np.bincount(document, np.where(plain, base_of[symbols], 0.0), len(lists))

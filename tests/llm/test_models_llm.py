@@ -6,12 +6,14 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from storyloom.llm import language
 from storyloom.llm.bpe import SHORT_WORD, Bpe, Codec, default_vocabulary, encode_documents
-from storyloom.llm.language import HELD, HELD_FOLDS, Mixer, scores, spelled_bits, words_of
+from storyloom.llm.language import HELD, HELD_FOLDS, Code, Mixer, scores, spelled_bits, words_of
 from storyloom.llm.mixing import mix, mixed_documents, source_targets, units
 from storyloom.llm.neighbours import nearest
 from storyloom.llm.quality import isotonic, quality
@@ -218,6 +220,36 @@ def test_bits_of_spellings_are_a_distribution():
     assert (10**cost).sum() == pytest.approx(1.0)
 
 
+@pytest.mark.parametrize("longest", [50, 3])
+def test_cost_of_runs_is_the_sum_over_their_bits(monkeypatch, longest):
+    """By products or by logarithms, with learned weights and tables that are not even."""
+    monkeypatch.setattr(language, "LONGEST_PRODUCT", longest)
+    rng = np.random.default_rng(3)
+    mixer = Mixer(rng.integers(0, 50, (4, 1 << 20, 2)).astype(np.int32))
+    found, gate = rng.integers(0, 1 << 20, (4, 5_000)), rng.integers(0, 16, 5_000)
+    bits = rng.integers(0, 2, 5_000).astype(np.int8)
+    mixer.learn(found, gate, bits)
+    # The plain way: mix, refine, and one logarithm a bit.
+    p, cell = mixer.mix(*mixer.inputs(found, gate), gate)
+    p = (p + mixer.refined.ravel()[cell]) / 2
+    plain = np.log10(np.where(bits == 1, p, 1 - p))
+    starts = np.unique(np.append(0, rng.integers(0, 5_000, 700)))
+    assert mixer.cost(found, gate, bits) == pytest.approx(plain, rel=1e-9)
+    assert mixer.cost(found, gate, bits, starts) == pytest.approx(np.add.reduceat(plain, starts), rel=1e-9)
+    none = np.empty(0, np.int64)
+    assert len(mixer.cost(found[:, :0], none, none, none)) == 0
+
+
+def test_slots_without_a_context_are_those_of_the_first_predictor():
+    code = Code(pa.array([b"", b"a", b"b", b"c"], pa.binary()), np.array([9, 5, 2, 1]), 3)
+    symbols = np.array([1, 4, 0, 3, 3, 2, 0])
+    contexts = code.contexts(symbols, np.zeros(len(symbols), np.int64))
+    found, _, _, token = code.bits_of(symbols, contexts)
+    path = np.concatenate([code.paths[code.starts[s] : code.starts[s] + code.sizes[s]] for s in symbols])
+    for k, context in enumerate(contexts):
+        assert found[k].tolist() == language.slots(context[token], path >> 1, k).tolist()
+
+
 def test_neighbours_of_awkward_vectors(spark):
     rng = np.random.default_rng(4)
     vectors = [rng.normal(size=8).tolist() for _ in range(300)]
