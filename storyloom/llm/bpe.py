@@ -154,7 +154,11 @@ class Codec:
                 ranks[r, c] = self.rank_of(parts[r, c], parts[r, c + 1])
         return found
 
-    def merge_all(self, words: set[str]) -> dict[str, bytes]:
+    def merge_all(self, words: set[str]) -> dict[str, tuple[int, ...]]:
+        """Ids of each word."""
+        return {w: tuple(np.frombuffer(ids, np.int32).tolist()) for w, ids in self.merge_packed(words).items()}
+
+    def merge_packed(self, words: set[str]) -> dict[str, bytes]:
         """Packed ids of each word."""
         by_size: dict[int, list[tuple[str, bytes]]] = {}
         found = {}
@@ -199,7 +203,7 @@ class Codec:
         # A piece of letters only is one word.
         whole = {p for p in pieces if p.isalpha()}
         mixed = {p: self.words.findall(p) for p in pieces - whole}
-        ids = self.merge_all(whole.union(*mixed.values()))
+        ids = self.merge_packed(whole.union(*mixed.values()))
         self.known.update({p: ids[p] for p in whole})
         for piece, inside in mixed.items():
             self.known[piece] = b"".join([ids[w] for w in inside])
