@@ -6,7 +6,6 @@ after an escape.  Every bit is predicted from counts in several hashed contexts.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -30,18 +29,22 @@ CODED = 1 << 17
 SLOT_BITS = 20
 FREQUENT = 256
 PREDICTORS = 4
+# Bits this far from the root, and farther, share weights.
+MOST_GATE = 15
 CONFIDENCES = 8
+# Log odds are held in steps of a 2,000th, up to 12 either way.
+ODDS_STEPS, MOST_ODDS = 2_000.0, 24_000
 BUCKETS = 48
 RATE = 0.02
 STEP_BITS = 2_048
 # Bits and tokens worked on at a time: their arrays take some ten MB, and calls are few.
 PIECE_BITS = 16 * STEP_BITS
 PIECE_TOKENS = 16_384
+LAYER_TOKENS = 65_536
 PIECE_WORDS = 500
 # Slots gathered before they are counted.
 COUNTED_BITS = 1 << 20
 COUNTED_WORDS = 300_000
-SPELLED_WORDS = 150_000
 BATCH_CHARS = 1_500_000
 BLOCK = 8_192
 # Bits whose probabilities, each above 3e-6, are multiplied in a double without underflow.
@@ -158,9 +161,57 @@ class Code:
         found[0] = self.plain_slots.take(step)
         for k in range(1, PREDICTORS):
             found[k] = hashed(spun(contexts[k], k).take(token), node)
-        gate = np.minimum(np.repeat(ends - 1, sizes) - place, 15)
+        gate = np.minimum(np.repeat(ends - 1, sizes) - place, MOST_GATE)
         return found, gate, (path & 1).astype(np.int8), token
 
+    @cached_property
+    def rank(self) -> np.ndarray:
+        """Place of each symbol among all, those with the most bits first; built where bits are met."""
+        rank = np.empty(len(self.sizes), np.int64)
+        rank[np.argsort(-self.sizes, kind="stable")] = np.arange(len(rank))
+        return rank
+
+    @cached_property
+    def layered(self) -> list[np.ndarray]:
+        """The steps of all paths by their distance from the root: places in ``paths``, by rank."""
+        last = np.empty(len(self.sizes), np.int32)
+        last[self.rank] = self.starts + self.sizes - 1
+        live = len(last) - np.cumsum(np.bincount(self.sizes))
+        return [last[:n] - layer for layer, n in enumerate(live[:-1].tolist())]
+
+    @cached_property
+    def layered_paths(self) -> list[np.ndarray]:
+        return [self.paths.take(steps) for steps in self.layered]
+
+    def layers(self, ranks: np.ndarray, contexts: list[np.ndarray]):
+        """Bits of tokens by their distance from the root, the farthest first: (layer, ranks, path, slots).
+
+        Tokens come sorted by the rank of their symbols: those that reach a layer are the
+        first, and equal paths lie together.  ``slots`` gives those of each predictor with a
+        context.  All arrays but ``ranks`` are overwritten by what comes next.
+        """
+        spins = [spun(contexts[k], k) for k in range(1, PREDICTORS)]
+        paths, nodes, mixed, spare = (np.empty(len(ranks), t) for t in (np.int32, np.uint64, np.uint64, np.uint64))
+
+        def slots_of(node: np.ndarray) -> Iterator[np.ndarray]:
+            some, rest = mixed[: len(node)], spare[: len(node)]
+            for spin in spins:
+                np.add(spin[: len(node)], node, out=some)
+                np.right_shift(some, np.uint64(29), out=rest)
+                some ^= rest
+                some *= SPREAD
+                some >>= np.uint64(64 - SLOT_BITS)
+                yield some.view(np.int64)
+
+        for layer in range(len(self.layered) - 1, -1, -1):
+            live = int(np.searchsorted(ranks, len(self.layered[layer])))
+            if live:
+                path, node = paths[:live], nodes[:live]
+                self.layered_paths[layer].take(ranks[:live], out=path, mode="clip")
+                np.right_shift(path, 1, out=node, casting="unsafe")
+                node *= ODD
+                yield layer, ranks[:live], path, slots_of(node)
+
 
 def huffman(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Parent (-1: root) and side of every node of the tree; nodes follow the symbols.
@@ -210,7 +261,7 @@ def confidence(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log odds and trust of counts (slot, bit)."""
     odds = np.log((counts[:, 1] + 0.4) / (counts[:, 0] + 0.4))
     trust = np.minimum(np.ceil(np.log2(counts.sum(axis=1) + 1)), CONFIDENCES - 1)
-    return np.round(np.clip(odds, -12, 12) * 2_000).astype(np.int16), trust.astype(np.uint8)
+    return np.round(np.clip(odds, -12, 12) * ODDS_STEPS).astype(np.int16), trust.astype(np.uint8)
 
 
 class Mixer:
@@ -245,6 +296,29 @@ class Mixer:
         place = np.arange(len(self.odds))[:, None] * CONFIDENCES + self.trust
         return self.odds * np.int32(PREDICTORS * CONFIDENCES) + place.astype(np.int32)
 
+    @cached_property
+    def kinds(self) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of log odds and trust that occur, as one number each, and the pair of every slot.
+
+        Few counts give few pairs and many counts one trust, so two bytes a slot are
+        enough, and slots that are met stay in the caches.
+        """
+        span = 2 * MOST_ODDS + 1
+        met = np.zeros(CONFIDENCES * span, bool)
+        for odds, trust in zip(self.odds, self.trust):
+            met[trust * np.int32(span) + odds + MOST_ODDS] = True
+        pairs = np.flatnonzero(met)
+        place = (np.cumsum(met) - 1).astype(np.uint16 if len(pairs) <= 1 << 16 else np.uint32)
+        of_slot = np.empty(self.odds.shape, place.dtype)
+        for found, odds, trust in zip(of_slot, self.odds, self.trust):
+            found[:] = place[trust * np.int32(span) + odds + MOST_ODDS]
+        return pairs, of_slot
+
+    def shares(self) -> np.ndarray:
+        """What a pair of log odds and trust adds to the odds of a bit, per gate and predictor."""
+        trust, odds = np.divmod(self.kinds[0], 2 * MOST_ODDS + 1)
+        return np.ascontiguousarray((self.weights / ODDS_STEPS)[:, :, trust] * (odds - MOST_ODDS))
+
     def start_from(self, flat: np.ndarray) -> None:
         """Take weights and refinement from one array."""
         weights, refined = flat[: self.weights.size], flat[self.weights.size :]
@@ -261,20 +335,36 @@ class Mixer:
     def centres() -> np.ndarray:
         return (np.arange(BUCKETS) + 0.5) * 24.0 / BUCKETS - 12.0
 
+    @cached_property
+    def of_kinds(self) -> tuple[np.ndarray, np.ndarray]:
+        """Log odds and trust of each pair."""
+        trust, odds = np.divmod(self.kinds[0], 2 * MOST_ODDS + 1)
+        return (odds - MOST_ODDS) / ODDS_STEPS, trust
+
     def inputs(self, found: np.ndarray, gate: np.ndarray):
-        seen = np.empty((len(found), len(gate)), np.int32)
-        for k, s in enumerate(found):
-            np.take(self.packed[k], s, out=seen[k], mode="clip")
-        own = PREDICTORS * CONFIDENCES
-        return (seen >> (own.bit_length() - 1)) / 2_000.0, (seen & (own - 1)) + gate * own
+        kinds = np.empty((len(found), len(gate)), self.kinds[1].dtype)
+        for table, s, kind in zip(self.kinds[1], found, kinds):
+            table.take(s, out=kind, mode="clip")
+        kinds = kinds.astype(np.int64)
+        odds, trust = self.of_kinds
+        weight = trust.take(kinds)
+        weight += np.arange(PREDICTORS)[:, None] * CONFIDENCES
+        weight += gate * (PREDICTORS * CONFIDENCES)
+        return odds.take(kinds), weight
 
     def mix(self, odds: np.ndarray, weight: np.ndarray, gate: np.ndarray):
         """Probability of a one by the weights, and its cell of the refinement."""
         z = self.weights.ravel().take(weight)
         z *= odds
-        z = np.clip(z.sum(axis=0), -11.99, 11.99)
-        cell = gate * BUCKETS + ((z + 12.0) * (BUCKETS / 24.0)).astype(np.int64)
-        return sigmoid(z), cell
+        z = z.sum(axis=0)
+        np.maximum(z, -11.99, out=z)
+        np.minimum(z, 11.99, out=z)
+        cell = ((z + 12.0) * (BUCKETS / 24.0)).astype(np.int64)
+        cell += gate * BUCKETS
+        np.negative(z, out=z)
+        np.exp(z, out=z)
+        z += 1.0
+        return np.divide(1.0, z, out=z), cell
 
     def cost(self, found: np.ndarray, gate: np.ndarray, bits: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
         """log10 of the probability given to each bit, or to each run of them.
@@ -284,7 +374,7 @@ class Mixer:
         if not len(bits):
             return np.zeros(0)
         own = PREDICTORS * CONFIDENCES
-        weights, gates = self.weights.ravel() / 2_000.0, (gate * own).astype(np.int32)
+        weights, gates = self.weights.ravel() / ODDS_STEPS, (gate * own).astype(np.int32)
         z = np.zeros(len(gate))
         for table, s in zip(self.packed, found):
             seen = table.take(s, mode="clip")
@@ -292,48 +382,97 @@ class Mixer:
             seen >>= own.bit_length() - 1
             part *= seen
             z += part
-        np.clip(z, -11.99, 11.99, out=z)
-        cell = ((z + 12.0) * (BUCKETS / 24.0)).astype(np.int32)
-        cell += (gate * BUCKETS).astype(np.int32)
-        np.negative(z, out=z)
-        np.exp(z, out=z)
-        z += 1.0
-        p = np.divide(1.0, z, out=z)
-        p += self.refined.ravel().take(cell)
-        p *= 0.5
-        # 1 - p where the bit is 0.
-        p -= bits == 0
-        np.abs(p, out=p)
+        p = self.chances(z, self.refined.ravel(), bits, gate * BUCKETS, np.empty_like(z), np.empty(len(z), np.int64))
         if starts is None:
             return np.log10(p, out=p)
         if np.diff(starts, append=len(p)).max() > LONGEST_PRODUCT:
             return np.add.reduceat(np.log10(p), starts)
         return np.log10(np.multiply.reduceat(p, starts))
 
+    def word_costs(self, code: Code, shares: np.ndarray, plain: list[np.ndarray], symbols: np.ndarray, contexts: list):
+        """log10 of the probability given to each token: as ``cost``, layer by layer.
+
+        ``shares`` are this mixer's, ``plain`` the odds of its first predictor.
+        """
+        ranks = code.rank[symbols]
+        order = np.argsort(ranks)
+        long = len(plain) > LONGEST_PRODUCT
+        whole = np.zeros(len(symbols)) if long else np.ones(len(symbols))
+        odds, part, spare = (np.empty(len(symbols)) for _ in range(3))
+        kinds = np.empty(len(symbols), self.kinds[1].dtype)
+        for layer, some, path, slots in code.layers(ranks[order], [c[order] for c in contexts]):
+            z, more, kind, gate = odds[: len(some)], part[: len(some)], kinds[: len(some)], min(layer, MOST_GATE)
+            place = spare[: len(some)].view(np.int64)
+            plain[layer].take(some, out=z, mode="clip")
+            for table, own, found in zip(self.kinds[1][1:], shares[gate, 1:], slots):
+                table.take(found, out=kind, mode="clip")
+                place[:] = kind
+                own.take(place, out=more, mode="clip")
+                z += more
+            path &= 1
+            p = self.chances(z, self.refined[gate], path, None, more, place)
+            if long:
+                whole[: len(p)] += np.log10(p)
+            else:
+                whole[: len(p)] *= p
+        costs = np.empty(len(symbols))
+        costs[order] = whole if long else np.log10(whole)
+        return costs
+
+    def plain_odds(self, code: Code, shares: np.ndarray) -> list[np.ndarray]:
+        """What the first predictor, which knows no context, adds to the odds: per layer, by rank."""
+        kind = self.kinds[1][0].take(code.plain_slots)
+        return [shares[min(layer, MOST_GATE), 0].take(kind.take(steps)) for layer, steps in enumerate(code.layered)]
+
+    @staticmethod
+    def chances(z: np.ndarray, refined: np.ndarray, bits: np.ndarray, first: np.ndarray | None, part: np.ndarray, cell: np.ndarray):
+        """Probability given to each bit, in place of its odds ``z``; the last two are room to work in.
+
+        ``first`` is where the refinement of a bit's gate starts in ``refined``.
+        """
+        np.maximum(z, -11.99, out=z)
+        np.minimum(z, 11.99, out=z)
+        np.add(z, 12.0, out=part)
+        part *= BUCKETS / 24.0
+        np.copyto(cell, part, casting="unsafe")
+        if first is not None:
+            cell += first
+        np.negative(z, out=z)
+        np.exp(z, out=z)
+        z += 1.0
+        np.divide(1.0, z, out=z)
+        refined.take(cell, out=part, mode="clip")
+        z += part
+        z *= 0.5
+        # 1 - p where the bit is 0.
+        z -= bits == 0
+        return np.abs(z, out=z)
+
     def learn(self, found: np.ndarray, gate: np.ndarray, bits: np.ndarray) -> None:
         """Online: predict some bits, then move weights down the coding cost and refine."""
-        for at in range(0, len(bits), PIECE_BITS):
-            part = slice(at, at + PIECE_BITS)
-            self.learn_piece(found[:, part], gate[part], bits[part])
-
-    def learn_piece(self, found: np.ndarray, gate: np.ndarray, bits: np.ndarray) -> None:
-        inputs, real = self.inputs(found, gate), bits.astype(float)
+        weights, refined = self.weights.ravel(), self.refined.ravel()
         for at in range(0, len(bits), STEP_BITS):
             part = slice(at, at + STEP_BITS)
-            odds, weight = (np.ascontiguousarray(x[:, part]) for x in inputs)
+            odds, weight = self.inputs(found[:, part], gate[part])
             p, cell = self.mix(odds, weight, gate[part])
-            odds *= real[part] - p
-            size = self.weights.size
-            slope = np.bincount(weight.ravel(), odds.ravel(), size)
-            uses = np.bincount(weight.ravel(), minlength=size)
-            self.weights += (RATE * slope / np.sqrt(np.maximum(uses, 1.0))).reshape(self.weights.shape)
-            size = self.refined.size
-            ones = np.bincount(cell, real[part], size)
-            uses = np.bincount(cell, minlength=size)
-            share = 1.0 - KEPT[uses]
-            step = share * (ones / np.maximum(uses, 1) - self.refined.ravel())
-            self.refined = np.clip((self.refined.ravel() + step).reshape(self.refined.shape), 1e-6, 1 - 1e-6)
-
+            real = bits[part].astype(float)
+            np.subtract(real, p, out=p)
+            odds *= p
+            weight = weight.ravel()
+            slope = np.bincount(weight, odds.ravel(), len(weights))
+            uses = np.maximum(np.bincount(weight, minlength=len(weights)), 1.0)
+            slope *= RATE
+            slope /= np.sqrt(uses, out=uses)
+            weights += slope
+            ones = np.bincount(cell, real, len(refined))
+            uses = np.bincount(cell, minlength=len(refined))
+            share = 1.0 - KEPT.take(uses)
+            ones /= np.maximum(uses, 1)
+            ones -= refined
+            ones *= share
+            refined += ones
+            np.maximum(refined, 1e-6, out=refined)
+            np.minimum(refined, 1 - 1e-6, out=refined)
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-x))
@@ -397,22 +536,29 @@ def summed(streams, frame: DataFrame) -> DataFrame:
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = np.zeros((PREDICTORS, 2 << SLOT_BITS), np.int64)
-        gathered, full = np.empty((PREDICTORS, COUNTED_BITS), np.int64), 0
+        gathered, full, first = np.empty((PREDICTORS, COUNTED_BITS), np.int32), 0, 0
 
         def count() -> None:
-            for own, met in zip(tables, gathered):
+            for own, met in zip(tables[first:], gathered[first:]):
                 own += np.bincount(met[:full], minlength=len(own))
 
-        for found, bits in streams(batches):
+        for found, bits, *times in streams(batches):
+            if times:
+                for own, met in zip(tables, found):
+                    # Sums in doubles are exact here.
+                    own += np.bincount(met * 2 + bits, times[0], len(own)).astype(np.int64)
+                continue
+            first = PREDICTORS - len(found)
             for at in range(0, len(bits), COUNTED_BITS):
                 part = slice(at, at + COUNTED_BITS)
-                some = found[:, part] * 2
-                some += bits[part]
-                if full + some.shape[1] > COUNTED_BITS:
+                size = len(bits[part])
+                if full + size > COUNTED_BITS:
                     count()
                     full = 0
-                gathered[:, full : full + some.shape[1]] = some
-                full += some.shape[1]
+                some = gathered[first:, full : full + size]
+                np.multiply(found[:, part], 2, out=some, casting="unsafe")
+                some += bits[part]
+                full += size
         count()
         del gathered
         blocks = tables.reshape(-1, BLOCK)
@@ -494,6 +640,29 @@ def token_blocks(code: Code, symbols: np.ndarray, first: np.ndarray, tokens: int
         yield at, *code.bits_of(symbols[part], [c[part] for c in contexts])
 
 
+def layer_bits(code: Code, symbols: np.ndarray, first: np.ndarray):
+    """Slots, of the predictors with a context, and bits of a run of tokens, layer by layer."""
+    contexts = code.contexts(symbols, first)
+    for at in range(0, len(symbols), LAYER_TOKENS):
+        ranks = code.rank[symbols[at : at + LAYER_TOKENS]]
+        order = np.argsort(ranks)
+        own = [c[at : at + LAYER_TOKENS][order] for c in contexts]
+        for _, some, path, slots in code.layers(ranks[order], own):
+            found = np.empty((PREDICTORS - 1, len(some)), np.int32)
+            for row, met in zip(found, slots):
+                row[:] = met
+            yield found, path & 1
+
+
+def word_costs(code: Code, mixer: Mixer, shares: np.ndarray, plain: list, symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """log10 of the probability given to each of a run of tokens, some tokens at a time."""
+    contexts, costs = code.contexts(symbols, first), np.empty(len(symbols))
+    for at in range(0, len(symbols), LAYER_TOKENS):
+        part = slice(at, at + LAYER_TOKENS)
+        costs[part] = mixer.word_costs(code, shares, plain, symbols[part], [c[part] for c in contexts])
+    return costs
+
+
 def step_blocks(code: Code, symbols: np.ndarray, first: np.ndarray, tokens: int = 1 << 16):
     """The same bits, cut at whole steps of what is learned: (found, gate, bits).
 
@@ -522,13 +691,13 @@ class Model:
         ).first()
         # The least count whose words all have room among the coded ones.
         kinds = sorted(vocab.groupBy("n").count().collect(), key=lambda r: -r["n"])
-        room, least = CODED, 1 << 62
+        room, self.least = CODED, 1 << 62
         for r in kinds:
             room -= r["count"]
             if room < 0:
                 break
-            least = r["n"]
-        coded = vocab.filter(F.col("n") >= least).select("word", "n").toArrow()
+            self.least = r["n"]
+        coded = vocab.filter(F.col("n") >= self.least).select("word", "n").toArrow()
         coded = coded.take(pc.sort_indices(coded, sort_keys=[("n", "descending"), ("word", "ascending")])).combine_chunks()
         counts = coded.column("n").to_numpy()
         self.escapes = self.total - int(counts.sum())
@@ -541,10 +710,15 @@ class Model:
         code = spark.sparkContext.broadcast(self.code)
 
         def word_bits(batches):
+            own, met = code.value, np.zeros(len(code.value.sizes))
             for _, lists in text_batches(batches):
-                symbols, first, _ = flat_symbols(code.value, lists)
-                for _, found, _, bits, _ in token_blocks(code.value, symbols, first):
-                    yield found, bits
+                symbols, first, _ = flat_symbols(own, lists)
+                met += np.bincount(symbols, minlength=len(met))
+                yield from layer_bits(own, symbols, first)
+            # Without a context every occurrence of a word counts the same bits.
+            for at in range(0, len(own.paths), COUNTED_BITS):
+                part = slice(at, at + COUNTED_BITS)
+                yield own.plain_slots[None, part], own.paths[part] & 1, np.repeat(met, own.sizes)[part]
 
         def tail_bits(batches):
             for batch in batches:
@@ -600,20 +774,41 @@ class Model:
         return np.concatenate(costs) if costs else np.empty(0)
 
 
-def escaped(lists: pa.ListArray, marked: np.ndarray) -> list[Counter]:
+def escaped(lists: pa.ListArray, document: np.ndarray, marked: np.ndarray) -> pa.ListArray:
     """Per document its words at the marked tokens, counted."""
     places = np.flatnonzero(marked)
-    words = lists.values.take(pa.array(places)).to_pylist()
-    bounds = np.searchsorted(places, lists.offsets.to_numpy()).tolist()
-    return [Counter(words[a:b]) for a, b in zip(bounds, bounds[1:])]
+    words = lists.values.take(pa.array(places)).dictionary_encode()
+    kinds = max(len(words.dictionary), 1)
+    pairs, times = np.unique(document[places] * kinds + words.indices.to_numpy(), return_counts=True)
+    ends = np.searchsorted(pairs, np.arange(len(lists) + 1) * kinds)
+    fields = [words.dictionary.take(pa.array(pairs % kinds)), pa.array(times.astype(np.int32))]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, names=["word", "times"]))
 
 
 SCORED = (
     "doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, "
-    "rare array<struct<word:binary,times:int,spelled:float>>"
+    "rare array<struct<word:binary,times:int>>"
 )
 
 
+def spelled_words(model: Model, shared, vocab: DataFrame, scored: DataFrame) -> DataFrame:
+    """word, n, spelled: the count and the cost of the letters of every word without a code.
+
+    A word is spelled once, however many documents and tasks have it.
+    """
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            costs = pa.array(shared.value.spell(batch.column("word").to_pylist()), pa.float32())
+            yield pa.RecordBatch.from_arrays([*batch.columns, costs], names=["word", "n", "spelled"])
+
+    # Rows that were learned from have no other words than those counted.
+    met = scored.filter("held_out").select(F.explode("rare.word").alias("word")).distinct()
+    new = met.join(vocab, "word", "left_anti").select("word", F.lit(0).cast("bigint").alias("n"))
+    words = vocab.filter(F.col("n") < model.least).select("word", "n").unionByName(new)
+    return written(words.mapInArrow(spell, "word binary, n bigint, spelled float"), "lm-spelled")
+
+
 def scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
@@ -635,31 +830,15 @@ def scores(docs: DataFrame) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         base_of = np.log10((m.code.counts + 1.0) / (m.total + m.distinct + 1.0))
-        spelling: dict[bytes, float] = {}
+        shares = m.words.shares()
+        plain = m.words.plain_odds(m.code, shares)
         for batch, lists in text_batches(batches):
             symbols, first, sizes = flat_symbols(m.code, lists)
             document = np.repeat(np.arange(len(lists)), sizes)
-            cost = np.zeros(len(symbols))
-            for at, found, gate, bits, token in token_blocks(m.code, symbols, first):
-                some = m.words.cost(found, gate, bits, np.flatnonzero(np.diff(token, prepend=-1)))
-                cost[at : at + len(some)] = some
-            plain = symbols != m.code.escape
-            base = np.bincount(document, np.where(plain, base_of[symbols], 0.0), len(lists))
-            known_words = np.bincount(document, plain, len(lists))
-            rare = escaped(lists, symbols == m.code.escape)
-            new = sorted(set().union(*rare) - spelling.keys())
-            if len(spelling) > SPELLED_WORDS:
-                spelling.clear()
-                new = sorted(set().union(*rare))
-            spelling.update(zip(new, m.spell(new).tolist()))
-            counted = [c for counter in rare for c in counter.items()]
-            ends = np.cumsum([0, *map(len, rare)], dtype=np.int32)
-            fields = [
-                pa.array([w for w, _ in counted], pa.binary()),
-                pa.array([n for _, n in counted], pa.int32()),
-                pa.array([spelling[w] for w, _ in counted], pa.float32()),
-            ]
-            entries = pa.StructArray.from_arrays(fields, names=["word", "times", "spelled"])
+            cost = word_costs(m.code, m.words, shares, plain, symbols, first)
+            coded = symbols != m.code.escape
+            base = np.bincount(document, np.where(coded, base_of[symbols], 0.0), len(lists))
+            known_words = np.bincount(document, coded, len(lists))
             columns = [
                 batch.column("doc_id"),
                 pa.array(batch.column("part").to_numpy(zero_copy_only=False) == HELD),
@@ -667,7 +846,7 @@ def scores(docs: DataFrame) -> DataFrame:
                 pa.array(known_words.astype(np.int64)),
                 pa.array(base),
                 pa.array(np.bincount(document, cost, len(lists))),
-                pa.ListArray.from_arrays(pa.array(ends), entries),
+                escaped(lists, document, symbols == m.code.escape),
             ]
             names = ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
@@ -677,10 +856,10 @@ def scores(docs: DataFrame) -> DataFrame:
     # The number of a row holds because the table is written before it is used.
     scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
     rare = scored.select("row", F.explode("rare").alias("one")).select("row", "one.*")
-    n = F.coalesce("n", F.lit(0))
+    n = F.col("n")
     share = model.seen * n / max(model.escapes, 1) + (1.0 - model.seen) * F.pow(F.lit(10.0), "spelled")
     plain = F.log10(F.lit(1.0 - model.seen)) + F.col("spelled")
-    costs = rare.join(vocab, "word", "left").groupBy("row").agg(
+    costs = rare.join(spelled_words(model, shared, vocab, scored), "word").groupBy("row").agg(
         F.sum(F.col("times") * F.log10((n + 1) / (model.total + model.distinct + 1.0))).alias("rare_base"),
         # A long word's own probability may be too small for a double; its logarithm is not.
         F.sum(F.col("times") * F.when(n > 0, F.log10(share)).otherwise(plain)).alias("rare_score"),
