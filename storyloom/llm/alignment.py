@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storyloom.functions.hashing import flat_lists
 from storyloom.llm.bpe import byte_letters
 from storyloom.llm.common import table
 from storyloom.tables import lookup, spread, written
@@ -27,6 +28,10 @@ from storyloom.tables import lookup, spread, written
 # Characters of text that are aligned together, and that share one list of id pairs.
 BATCH_CHARS = 250_000
 CHUNK_CHARS = 4_000_000
+# What a row counts besides its text, so that a chunk of empty texts ends as well.
+ROW_CHARS = 32
+# Id pairs in a row of a chunk, and bytes of a row group of chunks, which readers hold unpacked.
+PAIR_ROWS, GROUP_BYTES = 4_096, 8 << 20
 
 # How byte-level vocabularies of this kind cut a text.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -292,43 +297,50 @@ def alignments(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFra
 
 
 _CHUNK = (
-    "chunk bigint, doc_id array<bigint>, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, "
-    "n_links array<bigint>, digest array<string>, start array<int>, place array<int>, times array<int>, "
-    "pair array<bigint>, total array<bigint>"
+    "chunk bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, digest string, "
+    "place array<int>, times array<int>, first int, pair array<bigint>, total array<bigint>"
 )
 _CHUNK_SCHEMA = pa.schema(
-    [("chunk", pa.int64())]
-    + [(n, pa.list_(pa.int64())) for n in ("doc_id", "n_a", "n_b", "n_groups", "n_links")]
-    + [("digest", pa.list_(pa.string()))]
-    + [(n, pa.list_(pa.int32())) for n in ("start", "place", "times")]
+    [(n, pa.int64()) for n in ("chunk", "doc_id", "n_a", "n_b", "n_groups", "n_links")]
+    + [("digest", pa.string())]
+    + [(n, pa.list_(pa.int32())) for n in ("place", "times")]
+    + [("first", pa.int32())]
     + [(n, pa.list_(pa.int64())) for n in ("pair", "total")]
 )
 
 
+def _chunk_rows(number: int, held: dict[str, list]) -> Iterator[pa.RecordBatch]:
+    """Rows of the documents of a chunk, then rows of its different id pairs, ``PAIR_ROWS`` in each.
+
+    ``place`` refers to the pairs of the chunk; ``first`` is the place of the first one of a row.
+    """
+
+    def batch(rows: int, **columns) -> pa.RecordBatch:
+        columns["chunk"] = np.full(rows, number, np.int64)
+        arrays = [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in _CHUNK_SCHEMA]
+        return pa.RecordBatch.from_arrays(arrays, schema=_CHUNK_SCHEMA)
+
+    times = np.concatenate(held["times"])
+    known, place = np.unique(np.concatenate(held["pair"]), return_inverse=True)
+    totals = np.bincount(place, weights=times, minlength=len(known)).astype(np.int64)
+    at = np.concatenate(([0], np.cumsum(held["size"])))
+    facts = {n: held[n] for n in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "digest")}
+    yield batch(len(at) - 1, **facts, place=_lists(place, at), times=_lists(times, at))
+    for low in range(0, len(known), PAIR_ROWS):
+        part = slice(low, low + PAIR_ROWS)
+        ends = np.array([0, len(known[part])], np.int32)
+        pair, total = (pa.ListArray.from_arrays(pa.array(ends), pa.array(v[part])) for v in (known, totals))
+        yield batch(1, first=[low], pair=pair, total=total)
+
+
 def _chunks(docs: DataFrame, paths: tuple[str, str] | None) -> DataFrame:
-    """One row per chunk of neighbouring documents: their figures, and their id pairs.
+    """Chunks of neighbouring documents: a row of figures per document, and rows of the chunk's id pairs.
 
     The different pairs of a chunk are listed once; a document refers to them by place.
+    No row grows with its chunk, as readers hold some thousand rows of a table at once.
     """
     shared = _shared(docs.sparkSession, paths)
 
-    def row(number: int, held: dict[str, list]) -> pa.RecordBatch:
-        pairs = np.concatenate(held["pair"])
-        times = np.concatenate(held["times"])
-        known, place = np.unique(pairs, return_inverse=True)
-        totals = np.bincount(place, weights=times, minlength=len(known)).astype(np.int64)
-        values = [
-            number,
-            *(held[n] for n in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "digest")),
-            np.concatenate(([0], np.cumsum(held["size"]))).astype(np.int32),
-            place.astype(np.int32),
-            times.astype(np.int32),
-            known,
-            totals,
-        ]
-        arrays = [pa.array([v], f.type) for v, f in zip(values, _CHUNK_SCHEMA)]
-        return pa.RecordBatch.from_arrays(arrays, schema=_CHUNK_SCHEMA)
-
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(shared)
         # Unique within the table: it is written before anything refers to it.
@@ -353,12 +365,12 @@ def _chunks(docs: DataFrame, paths: tuple[str, str] | None) -> DataFrame:
                 }
                 for name, values in facts.items():
                     held.setdefault(name, []).extend(values)
-                chars += sum(len(t or "") for t in texts[part])
+                chars += sum(len(t or "") + ROW_CHARS for t in texts[part])
                 if chars >= CHUNK_CHARS:
-                    yield row(number, held)
+                    yield from _chunk_rows(number, held)
                     number, chars, held = number + 1, 0, {}
         if held:
-            yield row(number, held)
+            yield from _chunk_rows(number, held)
 
     rows = spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
     return rows.mapInArrow(made, _CHUNK)
@@ -390,17 +402,15 @@ def _figures(chunk: pa.Table, facts: pa.Table) -> pa.Table:
         count[place] = facts.column("count").to_numpy()
         best[place] = facts.column("best").to_numpy()
 
-        def held(name: str) -> pa.Array:
-            return chunk.column(name).combine_chunks().flatten()
-
-        places, times = held("place").to_numpy(), held("times").to_numpy().astype(np.int64)
-        starts = held("start").to_numpy().astype(np.int64)
+        starts, places = flat_lists(chunk.column("place").combine_chunks())
+        times = flat_lists(chunk.column("times").combine_chunks())[1].to_numpy().astype(np.int64)
+        places = places.to_numpy()
 
         def summed(of_pair: np.ndarray) -> pa.Array:
             total = np.concatenate(([0], np.cumsum(of_pair[places] * times)))
             return pa.array(total[starts[1:]] - total[starts[:-1]])
 
-        columns = [held(n) for n in names[:5]] + [summed(best), summed(count), held("digest")]
+        columns = [chunk.column(n) for n in names[:5]] + [summed(best), summed(count), chunk.column("digest")]
     types = [pa.int64()] * 7 + [pa.string()]
     return pa.table([pa.array(c, t) if isinstance(c, list) else c for c, t in zip(columns, types)], names=names)
 
@@ -413,11 +423,12 @@ def alignment_figures(docs: DataFrame, paths: tuple[str, str] | None = None) ->
     empty result; no other column is read.
     """
     spark = docs.sparkSession
-    chunks = written(_chunks(docs, paths), "alignment-chunks")
+    chunks = written(_chunks(docs, paths), "alignment-chunks", {"parquet.block.size": GROUP_BYTES})
     counts = pair_counts(chunks, _width(spark, paths))
-    listed = chunks.select(F.col("chunk").alias("of_chunk"), F.posexplode("pair").alias("of_place", "pair"))
+    listed = chunks.select(F.col("chunk").alias("of_chunk"), "first", F.posexplode("pair").alias("of_place", "pair"))
+    listed = listed.select("of_chunk", (F.col("first") + F.col("of_place")).alias("of_place"), "pair")
     facts = lookup(listed, counts, "pair", "inner").select("of_chunk", "of_place", "count", "best")
-    rows = chunks.drop("pair", "total")
+    rows = chunks.filter("place is not null").drop("first", "pair", "total")
     return rows.groupBy("chunk").cogroup(facts.groupBy("of_chunk")).applyInArrow(_figures, _FIGURES)
 
 

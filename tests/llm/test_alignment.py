@@ -9,7 +9,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from storyloom.llm.alignment import (
-    Aligner, _slices, align, alignment_figures, alignments, default_tokenizers,
+    PAIR_ROWS, Aligner, _chunk_rows, _chunks, _slices, align, alignment_figures, alignments,
+    default_tokenizers,
 )
 from storyloom.llm.bpe import byte_letters
 from tests.llm.samples import LONG, TEXTS, documents
@@ -131,3 +132,31 @@ def test_slices_cover_all_texts_once():
         assert sum(parts, []) == texts
         assert all(len(p) == 1 or sum(len(t or "") for t in p) <= chars for p in parts)
     assert list(_slices([], 10)) == []
+
+
+def test_no_row_between_grows_with_its_chunk(spark):
+    """A reader holds some thousand rows of a table, so a row is no longer than its document."""
+    rows = [(n, f"{n} words {n * 7} of text {'ab' * (n % 9)} number {n}") for n in range(2_000)] + [(None, None), (5, "")]
+    held = _chunks(documents(spark, rows), None).collect()
+    of_texts = [r for r in held if r.place is not None]
+    assert len({r.chunk for r in held}) < len(of_texts) == len(rows)
+    assert max(len(r.place) for r in of_texts) < 100
+
+
+def test_pairs_of_a_chunk_are_cut_into_rows():
+    rng = np.random.default_rng(4)
+    sizes = [0, 7, 3 * PAIR_ROWS, 0, 60]
+    pairs = [np.sort(rng.choice(10**9, n, replace=False)) for n in sizes]
+    times = [rng.integers(1, 9, n) for n in sizes]
+    texts = {n: list(range(5)) for n in ("doc_id", "n_a", "n_b", "n_groups", "n_links")} | {"digest": list("abcde")}
+    first, *others = [b.to_pylist() for b in _chunk_rows(3, texts | {"size": sizes, "pair": pairs, "times": times})]
+    listed = [r for batch in others for r in batch]
+    assert [r["first"] for r in listed] == list(range(0, sum(len(r["pair"]) for r in listed), PAIR_ROWS))
+    assert len(listed) > 2 and all(len(r["pair"]) == len(r["total"]) <= PAIR_ROWS for r in listed)
+    known, totals = (sum((r[n] for r in listed), []) for n in ("pair", "total"))
+    wanted = Counter()
+    for p, t in zip(pairs, times):
+        wanted.update(dict(zip(p.tolist(), t.tolist())))
+    assert dict(zip(known, totals)) == wanted
+    assert [[known[p] for p in r["place"]] for r in first] == [p.tolist() for p in pairs]
+    assert [r["times"] for r in first] == [t.tolist() for t in times] and {r["chunk"] for r in first + listed} == {3}
