@@ -221,3 +221,19 @@ def test_crowded_near_values_do_not_form_all_pairs(spark, monkeypatch):
     won = dedup._accept_in_steps(dedup.written(rows, "test-fresh"), 3, step_rows=8)
     assert [r.ord for r in won.collect()] == [0]
     assert sum(formed) < 65 * 64 / 2 / 8
+
+
+def test_plans_of_a_round_stay_small(spark, monkeypatch):
+    """The driver holds a plan per step; none repeats the steps before it."""
+    scans, write = {}, dedup.written
+
+    def counted(df, name, *options):
+        scans.setdefault(name, []).append(df._jdf.queryExecution().optimizedPlan().collectLeaves().size())
+        return write(df, name, *options)
+
+    look = dedup.lookup
+    monkeypatch.setattr(dedup, "written", counted)
+    monkeypatch.setattr(dedup, "lookup", lambda rows, keys, *a: look(rows, counted(keys, "lookup"), *a))
+    rows = random_rows(random.Random(3), 60)
+    assert dedup.decide(frame(spark, rows)).filter("accepted").count()
+    assert max(scans["dedup-round"]) <= 4 and max(scans["lookup"]) <= 8
